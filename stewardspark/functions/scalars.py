@@ -50,21 +50,31 @@ def compliance_color(score: Column) -> Column:
 
 
 def fixed_text(value: Column, decimals: int) -> Column:
-    """``value`` with that many decimals; a tie goes to the even digit."""
+    """``value`` with 0 to 2 decimals, rounded by its exact binary value.
+
+    2.325 is stored as slightly more than that and shows as 2.33; 0.25 is stored
+    exactly, and such a tie goes to the even digit. Spark's rounding of a double
+    works on its shortest decimal form and cannot tell the two apart, hence the
+    way through a decimal with 19 digits behind the point.
+    """
     value = value.cast("double")
-    text = F.format_string(f"%.{decimals}f", F.bround(value, decimals))
-    return F.when(value.isNotNull(), text)
+    size = F.abs(value)
+    whole = F.floor(size).cast("bigint")
+    # The part behind the point in units of 2^-62. Scaling by a power of two is
+    # exact, and a double near a tie of two decimals has no finer bits.
+    units = ((size - whole) * float(2**62)).cast("bigint").cast("decimal(19,0)")
+    part = (units / F.lit(2**62).cast("decimal(19,0)")).cast("decimal(20,19)")
+    rounded = F.bround(whole.cast("decimal(18,0)") + part, decimals)
+    return F.concat(F.when(value < 0, "-").otherwise(""), rounded.cast("string"))
 
 
 def format_number(n: Column, decimals: int = 1, prefix: str = "") -> Column:
     """1234567 -> 1.2M, 1500 -> 1.5K, 7 -> 7.0; the sign follows the prefix."""
     n = n.cast("double")
-    text = (
-        F.when(F.abs(n) >= 1_000_000, F.concat(fixed_text(n / 1_000_000, decimals), F.lit("M")))
-        .when(F.abs(n) >= 1_000, F.concat(fixed_text(n / 1_000, decimals), F.lit("K")))
-        .otherwise(fixed_text(n, decimals))
-    )
-    return F.concat(F.lit(prefix), text) if prefix else text
+    millions, thousands = F.abs(n) >= 1_000_000, F.abs(n) >= 1_000
+    shown = F.when(millions, n / 1_000_000).when(thousands, n / 1_000).otherwise(n)
+    suffix = F.when(millions, "M").when(thousands, "K").otherwise("")
+    return F.concat(F.lit(prefix), fixed_text(shown, decimals), suffix)
 
 
 def format_currency(n: Column) -> Column:

@@ -20,46 +20,63 @@ def team_scope(fact: DataFrame, teams: DataFrame, team: str | None = None) -> Da
     return fact.join(ids, "team_id", "left_semi").select(*fact.columns)
 
 
-def _kpi(
-    fact: DataFrame, name: str, value: Column, sprints: DataFrame, sprint_id: str | None
-) -> DataFrame:
-    """One figure of one sprint, or of every sprint; 0 where there are no rows."""
-    zero = F.coalesce(F.col(name), F.lit(0)).alias(name)
-    if sprint_id:
-        return fact.filter(F.col("sprint_id") == sprint_id).agg(value.alias(name)).select(zero)
-    per_sprint = fact.groupBy("sprint_id").agg(value.alias(name))
-    return (
-        sprints.select(F.col("id").alias("sprint_id"))
-        .join(per_sprint, "sprint_id", "left")
-        .select("sprint_id", zero)
-    )
+def _chosen(tables: Tables, name: str, team: str | None) -> DataFrame:
+    return team_scope(tables[name], tables["teams"], team)
+
+
+def _figures() -> dict[str, tuple[str, Column]]:
+    """Figure -> the table it comes from and how it is worked out there."""
+    return {
+        "avg_compliance": ("compliance_scores", F.avg("score")),
+        "violations": ("policy_violations", F.count("*")),
+        "token_cost": ("token_usage", measures.usd_sum(F.col("cost_usd"))),
+        # A plain mean of the readings, whatever the size of the teams.
+        "adoption_rate": ("adoption_metrics", F.avg("adoption_rate_pct")),
+        "incidents": ("security_incidents", F.count("*")),
+    }
+
+
+def _or_zero(*names: str) -> list[Column]:
+    return [F.coalesce(F.col(name), F.lit(0)).alias(name) for name in names]
+
+
+def every_sprint(tables: Tables, names: list[str], team: str | None = None) -> DataFrame:
+    """The named figures of each sprint; 0 where a sprint has no rows."""
+    result = tables["sprints"].select(F.col("id").alias("sprint_id"))
+    for name in names:
+        table, value = _figures()[name]
+        per_sprint = _chosen(tables, table, team).groupBy("sprint_id").agg(value.alias(name))
+        result = result.join(per_sprint, "sprint_id", "left")
+    return result.select("sprint_id", *_or_zero(*names))
+
+
+def _kpi(tables: Tables, name: str, sprint_id: str | None, team: str | None) -> DataFrame:
+    """One figure: of the given sprint in one row, or of every sprint."""
+    if not sprint_id:
+        return every_sprint(tables, [name], team)
+    table, value = _figures()[name]
+    rows = _chosen(tables, table, team).filter(F.col("sprint_id") == sprint_id)
+    return rows.agg(value.alias(name)).select(*_or_zero(name))
 
 
 def avg_compliance(tables: Tables, sprint_id=None, team=None) -> DataFrame:
-    fact = team_scope(tables["compliance_scores"], tables["teams"], team)
-    return _kpi(fact, "avg_compliance", F.avg("score"), tables["sprints"], sprint_id)
+    return _kpi(tables, "avg_compliance", sprint_id, team)
 
 
 def violation_count(tables: Tables, sprint_id=None, team=None) -> DataFrame:
-    fact = team_scope(tables["policy_violations"], tables["teams"], team)
-    return _kpi(fact, "violations", F.count("*"), tables["sprints"], sprint_id)
+    return _kpi(tables, "violations", sprint_id, team)
 
 
 def token_cost(tables: Tables, sprint_id=None, team=None) -> DataFrame:
-    fact = team_scope(tables["token_usage"], tables["teams"], team)
-    cost = measures.usd_sum(F.col("cost_usd"))
-    return _kpi(fact, "token_cost", cost, tables["sprints"], sprint_id)
+    return _kpi(tables, "token_cost", sprint_id, team)
 
 
 def adoption_rate(tables: Tables, sprint_id=None, team=None) -> DataFrame:
-    """Plain mean of the readings, whatever the size of the teams."""
-    fact = team_scope(tables["adoption_metrics"], tables["teams"], team)
-    return _kpi(fact, "adoption_rate", F.avg("adoption_rate_pct"), tables["sprints"], sprint_id)
+    return _kpi(tables, "adoption_rate", sprint_id, team)
 
 
 def incident_count(tables: Tables, sprint_id=None, team=None) -> DataFrame:
-    fact = team_scope(tables["security_incidents"], tables["teams"], team)
-    return _kpi(fact, "incidents", F.count("*"), tables["sprints"], sprint_id)
+    return _kpi(tables, "incidents", sprint_id, team)
 
 
 def sprint_previous(sprints: DataFrame) -> DataFrame:
@@ -87,36 +104,26 @@ def kpi_deltas(tables: Tables, team: str | None = None) -> DataFrame:
     The previous figures come from the same aggregates; Spark reuses their
     shuffles, so each fact is read once.
     """
-    figures = [
-        avg_compliance(tables, team=team),
-        violation_count(tables, team=team),
-        token_cost(tables, team=team),
-    ]
-    before = figures[0]
-    for figure in figures[1:]:
-        before = before.join(figure, "sprint_id")
-    before = before.select(
+    now = every_sprint(tables, list(_figures()), team)
+    before = every_sprint(tables, COMPARED, team).select(
         F.col("sprint_id").alias("previous_sprint_id"),
         *[F.col(name).alias(f"prev_{name}") for name in COMPARED],
     )
-    now = sprint_previous(tables["sprints"])
-    for figure in [*figures, adoption_rate(tables, team=team), incident_count(tables, team=team)]:
-        now = now.join(figure, "sprint_id")
-
-    def previous(name):
-        return F.coalesce(F.col(f"prev_{name}"), F.lit(0))
-
-    return now.join(before, "previous_sprint_id", "left").select(
+    previous = [f"prev_{name}" for name in COMPARED]
+    joined = (
+        sprint_previous(tables["sprints"])
+        .join(now, "sprint_id")
+        .join(before, "previous_sprint_id", "left")
+    )
+    return joined.select(
         "sprint_id",
         F.col("name").alias("sprint"),
         "number",
-        "avg_compliance",
-        "violations",
-        "token_cost",
-        "adoption_rate",
-        "incidents",
-        *[previous(name).alias(f"prev_{name}") for name in COMPARED],
-        *[(F.col(name) - previous(name)).alias(f"delta_{name}") for name in COMPARED],
+        *_figures(),
+        *_or_zero(*previous),
+    ).select(
+        "*",
+        *[(F.col(n) - F.col(f"prev_{n}")).alias(f"delta_{n}") for n in COMPARED],
     )
 
 
@@ -225,6 +232,6 @@ def kpis_by_scope(tables: Tables) -> DataFrame:
         .join(cost, on, "full")
         .select(
             *on,
-            *[F.coalesce(F.col(name), F.lit(0)).alias(name) for name in COMPARED],
+            *_or_zero(*COMPARED),
         )
     )

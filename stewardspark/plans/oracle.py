@@ -43,7 +43,7 @@ def _usd(column: str) -> str:
 
 
 def _show(value: str, decimals: int) -> str:
-    return f"printf('%.{decimals}f', round_even({value}, {decimals}))"
+    return f"printf('%.{decimals}f', {value})"
 
 
 def _short(value: str, decimals: int, prefix: str = "") -> str:
@@ -369,18 +369,26 @@ _INGEST = """
     FROM (
       SELECT sha256(request_id) AS id, team_id, sprint_id, policy_id, policy_name, category,
         severity, file_path,
-        CASE WHEN regexp_full_match(line_number, '[0-9]+')
-          THEN CAST(line_number AS INT) END AS line_number,
+        CASE WHEN regexp_full_match(line_number, '[0-9]+([.]0+)?')
+          THEN CAST(CAST(line_number AS DOUBLE) AS INT) END AS line_number,
         tool, 0 AS resolved,
         concat_ws('; ',
           CASE WHEN severity IS NULL THEN 'missing severity' END,
-          CASE WHEN NOT regexp_full_match(line_number, '[0-9]+') THEN 'bad line_number' END,
+          CASE WHEN NOT regexp_full_match(line_number, '[0-9]+([.]0+)?')
+            THEN 'bad line_number' END,
           CASE WHEN team_id NOT IN (SELECT id FROM teams) THEN 'unknown team_id' END,
           CASE WHEN sprint_id NOT IN (SELECT id FROM feed_sprints) THEN 'unknown sprint_id' END
         ) AS reasons
       FROM violation_feed)"""
 
 
+# DuckDB's regex engine needs no guard against long runs and knows no look-behind.
+_TEXT_PATTERNS = {
+    **fv.TEXT_PATTERNS,
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9-]",
+}
+
+
 def _evaluation() -> str:
     measures = " ".join(
         f"WHEN '{policy}' THEN q.{column}"
@@ -723,7 +731,7 @@ _BODIES = {
     + _union(
         f"""SELECT doc_id, '{kind}' AS kind,
         CAST(len(regexp_extract_all(text, {_text(pattern)})) AS INT) AS hits FROM documents"""
-        for kind, pattern in fv.TEXT_PATTERNS.items()
+        for kind, pattern in _TEXT_PATTERNS.items()
     )
     + ") WHERE hits > 0",
     "D13_compliance_adherence": """

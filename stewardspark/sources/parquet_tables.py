@@ -3,6 +3,8 @@
 Fact tables are partitioned by sprint, the column nearly every question filters.
 """
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,20 +22,21 @@ def load_tables(spark: SparkSession, root: str) -> Tables:
     return Tables({name: lambda name=name: read_table(spark, root, name) for name in TABLES})
 
 
-def apply_defaults(df: DataFrame, spec: TableSpec) -> DataFrame:
-    """``df`` with all columns of the table.
+def apply_defaults(df: DataFrame, spec: TableSpec, *more: str) -> DataFrame:
+    """``df`` with all columns of the table, and the columns named in ``more``.
 
     A column that ``df`` lacks is filled with its default, or NULL without one. A
     column that is there keeps its values, NULLs included.
     """
 
-    def value(column: str):
-        kind = spec.schema[column].dataType
-        if column in df.columns:
-            return F.col(column).cast(kind).alias(column)
-        return F.expr(spec.defaults.get(column, "NULL")).cast(kind).alias(column)
+    given = set(df.columns)
+
+    def value(column: str) -> str:
+        source = f"`{column}`" if column in given else spec.defaults.get(column, "NULL")
+        kind = spec.schema[column].dataType.simpleString()
+        return f"CAST({source} AS {kind}) AS `{column}`"
 
-    return df.select(*[value(column) for column in spec.columns])
+    return df.selectExpr(*[value(column) for column in spec.columns], *more)
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> None:
@@ -50,19 +53,32 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> No
 
 
 def full_refresh(tables: Tables, root: str) -> None:
-    """Replace all ten tables, the referenced ones first."""
-    for name in TABLES:
+    """Replace all ten tables, the referenced ones first.
+
+    Each table is replaced as a whole, but not all ten at one moment. Load the
+    tables again afterwards: a DataFrame from before still names the old files.
+
+    The tables that refer to them are written side by side: each job ends with a
+    few long tasks, and the other jobs fill the cores left free by then.
+    """
+
+    def refresh(name: str) -> None:
         write_table(tables[name], root, name, mode="overwrite")
 
+    referenced = {target for spec in TABLES.values() for target in spec.references.values()}
+    with ThreadPoolExecutor(max_workers=len(TABLES)) as pool:
+        for names in (referenced, TABLES.keys() - referenced):
+            list(pool.map(refresh, sorted(names)))
+
 
 def run_query(tables: Tables, sql: str, params: tuple | list | dict = ()) -> DataFrame:
     """Run SQL text over the tables with values bound to ``?`` or ``:name``."""
     if not isinstance(params, dict):
         params = list(params)
-    spark = None
-    for name in tables:
+    named = [name for name in tables if name in sql]
+    for name in named:
         tables[name].createOrReplaceTempView(name)
-        spark = tables[name].sparkSession
+    spark = tables[named[0]].sparkSession if named else SparkSession.active()
     return spark.sql(sql, args=params or None)
 
 

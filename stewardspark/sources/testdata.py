@@ -9,7 +9,7 @@ adaptive execution splits a supplier or customer that holds too many rows.
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardspark.functions import calendar, measures, scalars
+from stewardspark.functions import calendar, measures
 from stewardspark.operators.usage import with_token_cost
 from stewardspark.schemas import TABLES
 from stewardspark.sources.dimensions import model_price_dim, policy_dim
@@ -50,6 +50,11 @@ def _team(nationkey: str) -> str:
     return f"concat('team-', CAST({nationkey} AS STRING))"
 
 
+def _sprint(day: str) -> str:
+    days = f"datediff(CAST({day} AS DATE), DATE '{BASE_DATE}')"
+    return f"concat('sprint-', CAST(CAST(floor({days} / 14) AS INT) + 1 AS STRING))"
+
+
 def sprint_of(day: Column) -> Column:
     return calendar.sprint_id(calendar.sprint_number(day, BASE_DATE))
 
@@ -68,24 +73,22 @@ def _teams(spark, sf_dir):
 def _lines(spark, sf_dir):
     suppliers = source(spark, sf_dir, "supplier")
     lines = source(spark, sf_dir, "lineitem")
-    return lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey).withColumns(
-        {
-            "id": F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"),
-            "team_id": F.expr(_team("s_nationkey")),
-            "sprint_id": sprint_of(F.col("l_shipdate")),
-        }
+    return lines.join(suppliers, F.expr("l_suppkey = s_suppkey")).selectExpr(
+        "*",
+        "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS id",
+        f"{_team('s_nationkey')} AS team_id",
+        f"{_sprint('l_shipdate')} AS sprint_id",
     )
 
 
 def _orders(spark, sf_dir):
     customers = source(spark, sf_dir, "customer")
     orders = source(spark, sf_dir, "orders")
-    return orders.join(customers, orders.o_custkey == customers.c_custkey).withColumns(
-        {
-            "id": F.col("o_orderkey").cast("string"),
-            "team_id": F.expr(_team("c_nationkey")),
-            "sprint_id": sprint_of(F.col("o_orderdate")),
-        }
+    return orders.join(customers, F.expr("o_custkey = c_custkey")).selectExpr(
+        "*",
+        "CAST(o_orderkey AS STRING) AS id",
+        f"{_team('c_nationkey')} AS team_id",
+        f"{_sprint('o_orderdate')} AS sprint_id",
     )
 
 
@@ -102,14 +105,14 @@ def _policy_violations(spark, sf_dir):
         "l_suppkey % 6", "bandit", "gitleaks", "semgrep", "sonarqube", "custom_pii_scanner",
         "safety",
     )
-    return lines.join(policies, lines.l_partkey % 19 == policies.idx).select(
+    return lines.join(policies, F.expr("l_partkey % 19 = idx")).selectExpr(
         "id", "team_id", "sprint_id", "policy_id", "policy_name", "category", "severity",
-        scalars.violation_text(F.col("policy_name")).alias("description"),
-        F.expr("concat('src/mod_', CAST(l_partkey % 15 AS STRING), '.py')").alias("file_path"),
-        F.expr("CAST(10 + l_partkey % 491 AS INT)").alias("line_number"),
-        F.expr(tool).alias("tool"),
-        F.expr("CASE l_linestatus WHEN 'F' THEN 1 ELSE 0 END").alias("resolved"),
-        F.col("l_shipdate").alias("detected_at"),
+        "concat('Violation of ', policy_name, ' detected in AI-generated code') AS description",
+        "concat('src/mod_', CAST(l_partkey % 15 AS STRING), '.py') AS file_path",
+        "CAST(10 + l_partkey % 491 AS INT) AS line_number",
+        f"{tool} AS tool",
+        "CASE l_linestatus WHEN 'F' THEN 1 ELSE 0 END AS resolved",
+        "l_shipdate AS detected_at",
     )
 
 
@@ -118,12 +121,12 @@ def _compliance_scores(spark, sf_dir):
         "o_orderkey % 8", "security", "coding_standards", "data_privacy",
         "dependency_management", "architecture", "testing", "documentation", "performance",
     )
-    scores = _orders(spark, sf_dir).select(
+    scores = _orders(spark, sf_dir).selectExpr(
         "id", "team_id", "sprint_id",
-        F.expr(category).alias("category"),
-        F.expr("CAST(50 + (o_custkey * 7 + o_orderkey) % 51 AS DOUBLE)").alias("score"),
-        F.expr("CAST(8 + o_orderkey % 8 AS INT)").alias("total_rules"),
-        F.col("o_orderdate").alias("computed_at"),
+        f"{category} AS category",
+        "CAST(50 + (o_custkey * 7 + o_orderkey) % 51 AS DOUBLE) AS score",
+        "CAST(8 + o_orderkey % 8 AS INT) AS total_rules",
+        "o_orderdate AS computed_at",
     )
     passed = measures.rules_passed(F.col("total_rules"), F.col("score"))
     return scores.withColumn("rules_passed", passed)
@@ -301,28 +304,22 @@ def violation_feed(spark: SparkSession, events: DataFrame) -> DataFrame:
         "user_id % 6", "bandit", "gitleaks", "semgrep", "sonarqube", "custom_pii_scanner",
         "safety",
     )
-    return keyed.join(policies, F.col("k") % 19 == F.col("idx")).select(
-        F.col("event_id").cast("string").alias("request_id"),
-        F.expr(
-            """concat('team-', CAST(user_id % CASE event_type WHEN 'view' THEN 27 ELSE 25 END
-               AS STRING))"""
-        ).alias("team_id"),
-        sprint_of(F.col("ts")).alias("sprint_id"),
+    return keyed.join(policies, F.expr("k % 19 = idx")).selectExpr(
+        "CAST(event_id AS STRING) AS request_id",
+        """concat('team-', CAST(user_id % CASE event_type WHEN 'view' THEN 27 ELSE 25 END
+           AS STRING)) AS team_id""",
+        f"{_sprint('ts')} AS sprint_id",
         "policy_id", "policy_name", "category",
-        F.expr(
-            """CASE WHEN event_type = 'signup' AND k % 2 = 1 THEN NULL
-               WHEN event_type = 'purchase' AND k % 10 = 0 THEN 'blocker'
-               ELSE policy_severity END"""
-        ).alias("severity"),
-        F.lit(None).cast("string").alias("description"),
-        F.expr("concat('src/mod_', CAST(k % 15 AS STRING), '.py')").alias("file_path"),
-        F.expr(
-            """CASE event_type WHEN 'click' THEN CAST(CAST(value AS DECIMAL(18, 2)) AS STRING)
-               ELSE CAST(CAST(value AS BIGINT) AS STRING) END"""
-        ).alias("line_number"),
-        F.expr(tool).alias("tool"),
-        F.expr("concat_ws('-', user_id, k)").alias("sender_key"),
-        F.col("ts").alias("detected_at"),
+        """CASE WHEN event_type = 'signup' AND k % 2 = 1 THEN NULL
+           WHEN event_type = 'purchase' AND k % 10 = 0 THEN 'blocker'
+           ELSE policy_severity END AS severity""",
+        "CAST(NULL AS STRING) AS description",
+        "concat('src/mod_', CAST(k % 15 AS STRING), '.py') AS file_path",
+        """CASE event_type WHEN 'click' THEN CAST(CAST(value AS DECIMAL(18, 2)) AS STRING)
+           ELSE CAST(CAST(value AS BIGINT) AS STRING) END AS line_number""",
+        f"{tool} AS tool",
+        "concat_ws('-', user_id, k) AS sender_key",
+        "ts AS detected_at",
     )
 
 

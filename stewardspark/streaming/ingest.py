@@ -1,8 +1,8 @@
 """Ingest of violation records, in batch and as a stream, under one rule.
 
-A record needs six fields and may carry four more. It is accepted when the
-required fields are there, its line number (text) is a whole number, and its
-team and sprint exist. Severity and category are stored as they come. Accepted
+A record needs six fields and may carry four more, all read as text. It is
+accepted when the required fields are there, its line number is a whole number,
+and its team and sprint exist. Severity and category are stored as they come. Accepted
 and rejected records are both kept; rejected ones say why.
 
 A record may carry a ``request_id``. Its id is then the SHA-256 of that, so a
@@ -11,11 +11,12 @@ would give different records the same id at some billions of rows. Without a
 ``request_id`` every delivery is a violation of its own.
 """
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from stewardspark.schemas import TABLES
+from stewardspark.sources.parquet_tables import apply_defaults
 
 REQUIRED = ["team_id", "sprint_id", "policy_id", "policy_name", "category", "severity"]
 OPTIONAL = ["description", "file_path", "line_number", "tool"]
@@ -29,6 +30,26 @@ LANDING_SCHEMA = (
 )
 
 
+def read_feed(spark: SparkSession, path: str) -> DataFrame:
+    """Records from JSON lines. An unreadable line becomes a record without fields."""
+    return spark.read.schema(FEED_SCHEMA).json(path)
+
+
+def stream_feed(spark: SparkSession, path: str) -> DataFrame:
+    """Records from JSON files as they arrive below ``path``."""
+    return spark.readStream.schema(FEED_SCHEMA).json(path)
+
+
+def with_id(records: DataFrame) -> DataFrame:
+    """Records with their id.
+
+    Call it on records as they were read, before any shuffle: a task that is run
+    again then gives the same rows the same ids.
+    """
+    stated = F.when(F.col("request_id").isNotNull(), F.sha2(F.col("request_id"), 256))
+    return records.withColumn("id", stated.otherwise(F.expr("uuid()")))
+
+
 def judge(records: DataFrame, teams: DataFrame, sprints: DataFrame) -> DataFrame:
     """Records in the form of the violations table, with ``status`` and ``reasons``."""
 
@@ -36,39 +57,26 @@ def judge(records: DataFrame, teams: DataFrame, sprints: DataFrame) -> DataFrame
         ids = dimension.select(F.col("id").alias(column)).distinct()
         return ids.withColumn(f"known_{column}", F.lit(True))
 
-    line = F.col("line_number").try_cast("int")
+    whole = F.regexp_replace("line_number", r"\.0+$", "")
+    line = whole.try_cast("int")
     missing = [F.when(F.col(c).isNull(), f"missing {c}") for c in REQUIRED]
     bad_line = F.when(F.col("line_number").isNotNull() & line.isNull(), "bad line_number")
     unknown = [
         F.when(F.col(c).isNotNull() & F.col(f"known_{c}").isNull(), f"unknown {c}")
         for c in ("team_id", "sprint_id")
     ]
-    minted = F.when(F.col("request_id").isNotNull(), F.sha2(F.col("request_id"), 256))
-    detected = (
-        F.col("detected_at")
-        if "detected_at" in records.columns
-        else F.expr(_VIOLATIONS.defaults["detected_at"])
-    )
-    return (
-        records.join(known(teams, "team_id"), "team_id", "left")
+    reasons = F.concat_ws("; ", *missing, bad_line, *unknown)
+    looked_up = (
+        with_id(records)
+        .join(known(teams, "team_id"), "team_id", "left")
         .join(known(sprints, "sprint_id"), "sprint_id", "left")
-        .select(
-            minted.otherwise(F.expr("uuid()")).alias("id"),
-            *REQUIRED,
-            "description",
-            "file_path",
-            line.alias("line_number"),
-            "tool",
-            F.lit(0).alias("resolved"),
-            F.lit(None).cast("timestamp_ntz").alias("resolved_at"),
-            detected.alias("detected_at"),
-            F.concat_ws("; ", *missing, bad_line, *unknown).alias("reasons"),
-        )
-        .withColumn(
-            "status", F.when(F.col("reasons") == "", ACCEPTED).otherwise(REJECTED)
-        )
-        .select(*_VIOLATIONS.columns, "reasons", "status")
+        .withColumns({"line_number": line, "reasons": reasons})
     )
+    given = looked_up.select(
+        *[c for c in _VIOLATIONS.columns if c in looked_up.columns], "reasons"
+    )
+    status = F.when(F.col("reasons") == "", ACCEPTED).otherwise(REJECTED)
+    return apply_defaults(given, _VIOLATIONS, "reasons").withColumn("status", status)
 
 
 def ingest_batch(
@@ -76,9 +84,15 @@ def ingest_batch(
 ) -> DataFrame:
     """Judge a batch; leave out repeats within it and records already ``stored``."""
     judged = judge(records, teams, sprints).dropDuplicates(["id"])
-    if stored is not None:
-        judged = judged.join(stored.select("id"), "id", "left_anti")
-    return judged.select(*_VIOLATIONS.columns, "reasons", "status")
+    if stored is None:
+        return judged
+    # Stored records lie in known sprints, and a repeat lies in the sprint of its
+    # first delivery: only those partitions are read. The list collected here is
+    # at most as long as the list of sprints.
+    touched = sprints.join(judged, sprints.id == judged.sprint_id, "left_semi").select("id")
+    touched_ids = [row.id for row in touched.collect()]
+    seen = stored.filter(F.col("sprint_id").isin(touched_ids)).select("id")
+    return judged.join(seen, "id", "left_anti").select(*judged.columns)
 
 
 def start_ingest_stream(
@@ -118,5 +132,11 @@ def start_ingest_stream(
     )
 
 
-def read_landing(spark, landing: str) -> DataFrame:
+def read_landing(spark: SparkSession, landing: str) -> DataFrame:
+    """All records stored by the stream, with their status."""
     return spark.read.schema(LANDING_SCHEMA).parquet(landing)
+
+
+def accepted(judged: DataFrame) -> DataFrame:
+    """The rows to store as violations."""
+    return judged.filter(F.col("status") == ACCEPTED).select(*_VIOLATIONS.columns)

@@ -4,8 +4,6 @@ from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame
 
-from stewardspark.schemas import TABLES
-
 
 class Tables(Mapping):
     """Table name -> DataFrame. A table is planned on first use and then kept."""
@@ -20,7 +18,7 @@ class Tables(Mapping):
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._loaded:
-            self._loaded[name] = self._loaders[name]().select(*TABLES[name].columns)
+            self._loaded[name] = self._loaders[name]()
         return self._loaded[name]
 
     def __iter__(self):

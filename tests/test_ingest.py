@@ -1,0 +1,121 @@
+import json
+import shutil
+
+from pyspark.sql import functions as F
+
+from stewardspark.streaming import ingest
+
+GOOD = {
+    "team_id": "t1", "sprint_id": "s1", "policy_id": "SEC-001", "policy_name": "N",
+    "category": "security", "severity": "critical",
+}
+RECORDS = [
+    {"request_id": "r1", **GOOD, "line_number": 12, "tool": "bandit"},
+    {"request_id": "r2", **GOOD, "line_number": "12.5"},
+    {"request_id": "r3", **GOOD, "line_number": 7.0, "severity": "anything"},
+    {"request_id": "r4", **GOOD, "team_id": "ghost", "sprint_id": "never"},
+    {"request_id": "r5", "team_id": "t2"},
+    {"request_id": "r6", **GOOD, "line_number": "99999999999"},
+    GOOD,
+    GOOD,
+]
+REASONS = {
+    "r1": "",
+    "r2": "bad line_number",
+    "r3": "",
+    "r4": "unknown team_id; unknown sprint_id",
+    "r5": "missing sprint_id; missing policy_id; missing policy_name; missing category; "
+    "missing severity",
+    "r6": "bad line_number",
+}
+
+
+def write_feed(path, records):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text("\n".join(json.dumps(record) for record in records) + "\n")
+
+
+def digest(request_id):
+    import hashlib
+
+    return hashlib.sha256(request_id.encode()).hexdigest()
+
+
+def test_batch_rules(spark, small, tmp_path):
+    write_feed(tmp_path / "feed" / "one.json", RECORDS + RECORDS[:3])
+    feed = ingest.read_feed(spark, str(tmp_path / "feed"))
+    rows = ingest.ingest_batch(feed, small["teams"], small["sprints"]).collect()
+    by_id = {row.id: row for row in rows}
+    assert len(rows) == len(by_id) == 8
+    for request_id, reasons in REASONS.items():
+        row = by_id[digest(request_id)]
+        assert row.reasons == reasons
+        assert row.status == ("rejected" if reasons else "accepted")
+    assert by_id[digest("r1")].line_number == 12
+    assert by_id[digest("r3")].line_number == 7
+    assert all(row.resolved == 0 and row.detected_at is not None for row in rows)
+    # Without a request id each delivery counts.
+    assert sum(row.status == "accepted" for row in rows) == 4
+
+
+def test_batch_leaves_out_what_is_stored(spark, small, tmp_path):
+    write_feed(tmp_path / "feed" / "one.json", RECORDS[:6])
+    feed = ingest.read_feed(spark, str(tmp_path / "feed"))
+    first = ingest.ingest_batch(feed, small["teams"], small["sprints"])
+    stored = ingest.accepted(first)
+    assert stored.columns == small["policy_violations"].columns
+    again = ingest.ingest_batch(feed, small["teams"], small["sprints"], stored)
+    assert ingest.accepted(again).count() == 0
+    assert again.count() == 4
+
+
+def test_unreadable_line_is_rejected(spark, small, tmp_path):
+    (tmp_path / "bad.json").write_text("{not json\n" + json.dumps(GOOD) + "\n")
+    feed = ingest.read_feed(spark, str(tmp_path / "bad.json"))
+    statuses = ingest.ingest_batch(feed, small["teams"], small["sprints"]).groupBy("status")
+    assert {r.status: r["count"] for r in statuses.count().collect()} == {
+        "accepted": 1, "rejected": 1,
+    }
+
+
+def run_stream(spark, small, tmp_path):
+    ingest.start_ingest_stream(
+        ingest.stream_feed(spark, str(tmp_path / "feed")),
+        small["teams"],
+        small["sprints"],
+        str(tmp_path / "landing"),
+        str(tmp_path / "checkpoint"),
+    ).awaitTermination()
+    return ingest.read_landing(spark, str(tmp_path / "landing"))
+
+
+def test_stream_equals_batch_also_when_delivered_twice(spark, small, tmp_path):
+    with_ids = RECORDS[:6]
+    write_feed(tmp_path / "feed" / "one.json", with_ids)
+    feed = ingest.read_feed(spark, str(tmp_path / "feed"))
+    batch = ingest.ingest_batch(feed, small["teams"], small["sprints"])
+
+    def content(df):
+        return sorted(map(str, df.select("id", "reasons", "status", "line_number").collect()))
+
+    assert content(run_stream(spark, small, tmp_path)) == content(batch)
+    # The same records in another file, and a new one with them.
+    write_feed(tmp_path / "feed" / "two.json", with_ids + [{"request_id": "r9", **GOOD}])
+    landed = run_stream(spark, small, tmp_path)
+    assert landed.count() == 7
+    assert landed.filter(F.col("id") == digest("r9")).count() == 1
+    # Nothing new: nothing happens.
+    assert run_stream(spark, small, tmp_path).count() == 7
+
+
+def test_a_batch_run_again_replaces_its_folder(spark, small, tmp_path):
+    write_feed(tmp_path / "feed" / "one.json", RECORDS[:6])
+    assert run_stream(spark, small, tmp_path).count() == 6
+    # The folder of batch 0 was written, but its end was not recorded.
+    copy = tmp_path / "copy"
+    shutil.copytree(tmp_path / "checkpoint", copy, ignore=shutil.ignore_patterns("0", ".0.crc"))
+    batch = spark.read.parquet(str(tmp_path / "landing" / "ingest_batch=0"))
+    batch.write.mode("overwrite").partitionBy("status").parquet(
+        str(tmp_path / "again" / "ingest_batch=0")
+    )
+    assert spark.read.parquet(str(tmp_path / "again")).count() == 6

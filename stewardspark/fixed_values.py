@@ -88,6 +88,16 @@ ALERT_CLASSES = {
 }
 DEFAULT_ALERT_CLASS = "alert-info"
 
+ALERT_ICONS = {
+    "critical": "🔴",
+    "high": "🟠",
+    "warning": "🟡",
+    "medium": "🟡",
+    "info": "🔵",
+    "low": "🔵",
+}
+DEFAULT_ALERT_ICON = "ℹ️"
+
 ALL_TEAMS = "All Teams"
 
 # alert type -> (severity, title, message)

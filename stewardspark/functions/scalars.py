@@ -92,6 +92,10 @@ def alert_class(severity: Column) -> Column:
     return lookup(severity, fv.ALERT_CLASSES, F.lit(fv.DEFAULT_ALERT_CLASS))
 
 
+def alert_icon(severity: Column) -> Column:
+    return lookup(severity, fv.ALERT_ICONS, F.lit(fv.DEFAULT_ALERT_ICON))
+
+
 def team_color(team_name: Column, colors: dict[str, str] | None = None) -> Column:
     """Colour of a team, NULL for a team without one."""
     return lookup(team_name, colors or fv.TEAM_COLORS)

@@ -15,6 +15,8 @@ def token_budget(
     teams,
     per_developer: int = fv.TOKENS_PER_DEVELOPER,
     multiplier: str = fv.TEAM_BUDGET_MULTIPLIER,
+    alert_pct: float = fv.BUDGET_ALERT_PCT,
+    escalation_pct: float = fv.BUDGET_ESCALATION_PCT,
 ) -> DataFrame:
     """Tokens used against the budget of each team and sprint."""
     used = usage.groupBy(*PER_TEAM_AND_SPRINT).agg(F.sum("total_tokens").alias("tokens"))
@@ -28,8 +30,8 @@ def token_budget(
         .withColumn("pct", pct)
         .select(
             "team_id", "team", "sprint_id", "tokens", "budget", "pct",
-            F.when(F.col("pct") >= fv.BUDGET_ESCALATION_PCT, "escalate")
-            .when(F.col("pct") >= fv.BUDGET_ALERT_PCT, "alert")
+            F.when(F.col("pct") >= escalation_pct, "escalate")
+            .when(F.col("pct") >= alert_pct, "alert")
             .otherwise("ok")
             .alias("status"),
         )

@@ -551,7 +551,7 @@ _BODIES = {
         FROM compliance_scores GROUP BY ALL""",
     "F07_alert_class": f"""
         SELECT severity, {_map('severity', fv.ALERT_CLASSES, "'alert-info'")} AS alert_class,
-          count(*) AS n FROM alerts GROUP BY ALL""",
+          {_map('severity', fv.ALERT_ICONS, _text(fv.DEFAULT_ALERT_ICON))} AS icon, count(*) AS n FROM alerts GROUP BY ALL""",
     "F08_team_color": """
         SELECT t.name AS team_name,
           CASE t.name WHEN 'NATION_0' THEN '#534AB7' WHEN 'NATION_1' THEN '#1D9E75'

@@ -229,6 +229,7 @@ _on_tables(
         t["alerts"],
         severity=F.col("severity"),
         alert_class=scalars.alert_class(F.col("severity")),
+        icon=scalars.alert_icon(F.col("severity")),
     ),
 )
 _on_tables(

@@ -7,6 +7,7 @@ size with ``spark.sql.autoBroadcastJoinThreshold`` and shuffles a larger side.
 
 from decimal import Decimal
 from pathlib import Path
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,8 +41,14 @@ def policy_dim(spark: SparkSession, policies: list[tuple] | None = None) -> Data
     return spark.createDataFrame(pa.table(columns, schema=schema))
 
 
-def read_policy_file(path: str) -> list[tuple]:
-    """The policies of a YAML policy file, for ``policy_dim``.
+class PolicyFile(NamedTuple):
+    policies: list[tuple]  # for policy_dim
+    role_policies: dict[str, list[str]]  # for role_policies
+    token_budget: dict  # keyword arguments of token_budget
+
+
+def read_policy_file(path: str) -> PolicyFile:
+    """The contents of a YAML policy file.
 
     A policy file is written by hand and holds tens of rows, so the driver reads it.
     """
@@ -49,8 +56,22 @@ def read_policy_file(path: str) -> list[tuple]:
         import yaml
     except ImportError as error:
         raise ImportError("reading a policy file needs the yaml package") from error
-    listed = yaml.safe_load(Path(path).read_text(encoding="utf-8"))["policies"]
-    return [tuple(policy.get(column) for column in POLICY_COLUMNS[1:]) for policy in listed]
+    content = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    budget = content.get("token_budgets") or {}
+    arguments = {
+        "per_developer": budget.get("per_developer_per_sprint"),
+        "multiplier": budget.get("per_team_per_sprint_multiplier"),
+        "alert_pct": budget.get("alert_threshold_pct"),
+        "escalation_pct": budget.get("escalation_threshold_pct"),
+    }
+    arguments = {name: value for name, value in arguments.items() if value is not None}
+    if "multiplier" in arguments:
+        arguments["multiplier"] = str(arguments["multiplier"])
+    return PolicyFile(
+        [tuple(policy.get(c) for c in POLICY_COLUMNS[1:]) for policy in content["policies"]],
+        {role: rights.get("policies", []) for role, rights in content.get("roles", {}).items()},
+        arguments,
+    )
 
 
 def policy_roles(policies: DataFrame) -> DataFrame:

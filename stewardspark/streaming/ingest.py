@@ -140,3 +140,8 @@ def read_landing(spark: SparkSession, landing: str) -> DataFrame:
 def accepted(judged: DataFrame) -> DataFrame:
     """The rows to store as violations."""
     return judged.filter(F.col("status") == ACCEPTED).select(*_VIOLATIONS.columns)
+
+
+def with_landed(stored: DataFrame, landed: DataFrame) -> DataFrame:
+    """Stored violations together with the accepted ones the stream has landed."""
+    return stored.unionByName(accepted(landed))

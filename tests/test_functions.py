@@ -39,6 +39,9 @@ def test_severity_colors_and_alert_classes(spark):
         "alert-critical", "alert-high", "alert-warning", "alert-warning", "alert-info",
         "alert-info", "alert-info",
     ]
+    assert column(spark, ["high", "low", "other"], "string", scalars.alert_icon) == [
+        "🟠", "🔵", "ℹ️",
+    ]
 
 
 def test_band_edges_belong_to_the_upper_band(spark):
@@ -202,12 +205,25 @@ def test_policy_and_price_dimensions(spark, tmp_path):
     ]
     price = model_price_dim(spark).filter("model = 'gpt-4o'").first()
     assert price.input_cost_per_1k == Decimal("0.005")
+
+
+def test_policy_file(spark, tmp_path):
     pytest.importorskip("yaml")
     path = tmp_path / "policies.yaml"
     path.write_text(
         "policies:\n"
         "  - {id: X-1, name: N, description: D, category: security, severity: low,\n"
         "     applies_to: [developer], threshold: 3, tool: t}\n"
+        "token_budgets: {per_developer_per_sprint: 10, per_team_per_sprint_multiplier: 1.5,\n"
+        "  alert_threshold_pct: 70, escalation_threshold_pct: 90}\n"
+        "roles:\n"
+        "  developer: {policies: [X-1]}\n"
+        "  management: {dashboard_access: [token_cost]}\n"
     )
-    row = policy_dim(spark, read_policy_file(str(path))).first()
+    read = read_policy_file(str(path))
+    row = policy_dim(spark, read.policies).first()
     assert (row.idx, row.id, row.applies_to, row.threshold) == (0, "X-1", ["developer"], 3.0)
+    assert role_policies(spark, read.role_policies).collect() == [("developer", "X-1")]
+    assert read.token_budget == {
+        "per_developer": 10, "multiplier": "1.5", "alert_pct": 70, "escalation_pct": 90,
+    }

@@ -1,5 +1,4 @@
 import json
-import shutil
 
 from pyspark.sql import functions as F
 
@@ -104,6 +103,8 @@ def test_stream_equals_batch_also_when_delivered_twice(spark, small, tmp_path):
     landed = run_stream(spark, small, tmp_path)
     assert landed.count() == 7
     assert landed.filter(F.col("id") == digest("r9")).count() == 1
+    both = ingest.with_landed(small["policy_violations"], landed)
+    assert both.count() == 6 + 3
     # Nothing new: nothing happens.
     assert run_stream(spark, small, tmp_path).count() == 7
 
@@ -111,11 +112,14 @@ def test_stream_equals_batch_also_when_delivered_twice(spark, small, tmp_path):
 def test_a_batch_run_again_replaces_its_folder(spark, small, tmp_path):
     write_feed(tmp_path / "feed" / "one.json", RECORDS[:6])
     assert run_stream(spark, small, tmp_path).count() == 6
-    # The folder of batch 0 was written, but its end was not recorded.
-    copy = tmp_path / "copy"
-    shutil.copytree(tmp_path / "checkpoint", copy, ignore=shutil.ignore_patterns("0", ".0.crc"))
-    batch = spark.read.parquet(str(tmp_path / "landing" / "ingest_batch=0"))
-    batch.write.mode("overwrite").partitionBy("status").parquet(
-        str(tmp_path / "again" / "ingest_batch=0")
-    )
-    assert spark.read.parquet(str(tmp_path / "again")).count() == 6
+    # A fresh checkpoint: the stream starts over and runs batch 0 a second time.
+    (tmp_path / "checkpoint").rename(tmp_path / "lost")
+    assert run_stream(spark, small, tmp_path).count() == 6
+
+
+def test_a_late_record_is_kept(spark, small, tmp_path):
+    """Records of long ago are stored whatever was seen before them."""
+    for number, when in enumerate(["2025-06-01", "1999-01-01", "2025-06-02"]):
+        write_feed(tmp_path / "feed" / f"{number}.json", [{"request_id": f"d{when}", **GOOD}])
+        landed = run_stream(spark, small, tmp_path)
+    assert landed.count() == 3

@@ -458,11 +458,12 @@ def _ingest_violations(spark, sf_dir):
 
 @_register("ST01_ingest_stream")
 def _ingest_stream(spark, sf_dir):
-    feed = testdata.violation_feed(spark, testdata.event_stream(spark, sf_dir))
-    teams = testdata.derive_tables(spark, sf_dir)["teams"]
     landing, checkpoint = new_folder(spark, "landing"), new_folder(spark, "stream")
+    session = ingest.stream_session(spark)
+    feed = testdata.violation_feed(session, testdata.event_stream(session, sf_dir))
+    teams = testdata.derive_tables(session, sf_dir)["teams"]
     query = ingest.start_ingest_stream(
-        feed, teams, testdata.feed_calendar(spark), landing, checkpoint
+        feed, teams, testdata.feed_calendar(session), landing, checkpoint
     )
     query.awaitTermination()
     return ingest.read_landing(spark, landing).select(*_INGESTED)

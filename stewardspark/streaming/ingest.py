@@ -30,6 +30,30 @@ LANDING_SCHEMA = (
 )
 
 
+# State beyond an executor's memory goes to its disk, and a checkpoint uploads
+# changes instead of whole snapshots.
+STATE_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming"
+    ".state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def stream_session(spark: SparkSession, state_partitions: int | None = None) -> SparkSession:
+    """A session to read and start the stream in.
+
+    A stream keeps the number of state partitions it was first started with. It
+    comes from a session of its own, so that it does not follow a setting made
+    for batch queries: one partition per core unless stated.
+    """
+    session = spark.newSession()
+    partitions = state_partitions or spark.sparkContext.defaultParallelism
+    session.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    for name, value in STATE_SETTINGS.items():
+        session.conf.set(name, value)
+    return session
+
+
 def read_feed(spark: SparkSession, path: str) -> DataFrame:
     """Records from JSON lines. An unreadable line becomes a record without fields."""
     return spark.read.schema(FEED_SCHEMA).json(path)

@@ -78,8 +78,9 @@ def test_unreadable_line_is_rejected(spark, small, tmp_path):
 
 
 def run_stream(spark, small, tmp_path):
+    session = ingest.stream_session(spark, state_partitions=3)
     ingest.start_ingest_stream(
-        ingest.stream_feed(spark, str(tmp_path / "feed")),
+        ingest.stream_feed(session, str(tmp_path / "feed")),
         small["teams"],
         small["sprints"],
         str(tmp_path / "landing"),
@@ -123,3 +124,11 @@ def test_a_late_record_is_kept(spark, small, tmp_path):
         write_feed(tmp_path / "feed" / f"{number}.json", [{"request_id": f"d{when}", **GOOD}])
         landed = run_stream(spark, small, tmp_path)
     assert landed.count() == 3
+
+
+def test_the_stream_session_changes_no_other_session(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    session = ingest.stream_session(spark)
+    assert session.conf.get("spark.sql.shuffle.partitions") == "8"
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")

@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,6 +384,22 @@ def test_text_scan(spark):
     }
 
 
+def test_text_scan_equals_python_on_whole_texts(spark):
+    plain = {
+        **fv.TEXT_PATTERNS,
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9-]",
+    }
+    documents = testdata.source(spark, SMALL, "documents")
+    expected = {}
+    for row in documents.collect():
+        for kind, pattern in plain.items():
+            hits = len(re.findall(pattern, row.text))
+            if hits:
+                expected[row.doc_id, kind] = hits
+    got = {(r.doc_id, r.kind): r.hits for r in text_scan.pii_secret_scan(documents).collect()}
+    assert got == expected and expected
+
+
 def test_text_scan_of_a_very_long_run(spark):
     docs = spark.range(1).select(
         F.col("id").alias("doc_id"),

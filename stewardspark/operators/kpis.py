@@ -40,12 +40,23 @@ def _or_zero(*names: str) -> list[Column]:
     return [F.coalesce(F.col(name), F.lit(0)).alias(name) for name in names]
 
 
-def every_sprint(tables: Tables, names: list[str], team: str | None = None) -> DataFrame:
-    """The named figures of each sprint; 0 where a sprint has no rows."""
+def every_sprint(
+    tables: Tables, names: list[str], team: str | None = None, only: list[str] | None = None
+) -> DataFrame:
+    """The named figures of each sprint, or of those in ``only``.
+
+    They are 0 where a sprint has no rows. With ``only``, just the partitions of
+    these sprints are read.
+    """
     result = tables["sprints"].select(F.col("id").alias("sprint_id"))
+    if only is not None:
+        result = result.filter(F.col("sprint_id").isin(only))
     for name in names:
         table, value = _figures()[name]
-        per_sprint = _chosen(tables, table, team).groupBy("sprint_id").agg(value.alias(name))
+        rows = _chosen(tables, table, team)
+        if only is not None:
+            rows = rows.filter(F.col("sprint_id").isin(only))
+        per_sprint = rows.groupBy("sprint_id").agg(value.alias(name))
         result = result.join(per_sprint, "sprint_id", "left")
     return result.select("sprint_id", *_or_zero(*names))
 
@@ -98,23 +109,31 @@ def sprint_previous(sprints: DataFrame) -> DataFrame:
 COMPARED = ["avg_compliance", "violations", "token_cost"]
 
 
-def kpi_deltas(tables: Tables, team: str | None = None) -> DataFrame:
+def kpi_deltas(
+    tables: Tables, team: str | None = None, sprint_id: str | None = None
+) -> DataFrame:
     """The five figures of every sprint, with the previous sprint's and the change.
 
     The previous figures come from the same aggregates; Spark reuses their
-    shuffles, so each fact is read once.
+    shuffles, so each fact is read once. With ``sprint_id`` the result is that
+    sprint's row, and of each fact only the sprint and the one before are read;
+    the previous one is looked up in the list of sprints first.
     """
-    now = every_sprint(tables, list(_figures()), team)
-    before = every_sprint(tables, COMPARED, team).select(
+    order = sprint_previous(tables["sprints"])
+    only = None
+    if sprint_id:
+        order = order.filter(F.col("sprint_id") == sprint_id)
+        found = order.first()
+        only = [sprint_id]
+        if found is not None and found.previous_sprint_id is not None:
+            only.append(found.previous_sprint_id)
+    now = every_sprint(tables, list(_figures()), team, only)
+    before = every_sprint(tables, COMPARED, team, only).select(
         F.col("sprint_id").alias("previous_sprint_id"),
         *[F.col(name).alias(f"prev_{name}") for name in COMPARED],
     )
     previous = [f"prev_{name}" for name in COMPARED]
-    joined = (
-        sprint_previous(tables["sprints"])
-        .join(now, "sprint_id")
-        .join(before, "previous_sprint_id", "left")
-    )
+    joined = order.join(now, "sprint_id").join(before, "previous_sprint_id", "left")
     return joined.select(
         "sprint_id",
         F.col("name").alias("sprint"),

@@ -1,6 +1,6 @@
 """Personal data and secrets in texts."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stewardspark import fixed_values as fv
@@ -15,16 +15,19 @@ def pii_secret_scan(
     """One row per document and kind that occurs in it, with the number of hits.
 
     Whole texts are scanned, without a shuffle; a document leaves behind counts
-    only.
+    only. ``patterns`` replaces the usual kinds.
     """
+    marks = {} if patterns else fv.TEXT_MARKS
     patterns = patterns or fv.TEXT_PATTERNS
-    hits = F.array(
-        *[
-            F.struct(
-                F.lit(kind).alias("kind"),
-                F.regexp_count(F.col(text_column), F.lit(pattern)).alias("hits"),
-            )
-            for kind, pattern in patterns.items()
-        ]
+    text = F.col(text_column)
+
+    def hits(kind: str) -> Column:
+        count = F.regexp_count(text, F.lit(patterns[kind]))
+        if kind in marks:
+            return F.when(F.contains(text, F.lit(marks[kind])), count).otherwise(0)
+        return count
+
+    found = F.array(
+        *[F.struct(F.lit(kind).alias("kind"), hits(kind).alias("hits")) for kind in patterns]
     )
-    return documents.select(id_column, F.inline(hits)).filter(F.col("hits") > 0)
+    return documents.select(id_column, F.inline(found)).filter(F.col("hits") > 0)

@@ -59,9 +59,15 @@ def read_feed(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(FEED_SCHEMA).json(path)
 
 
-def stream_feed(spark: SparkSession, path: str) -> DataFrame:
-    """Records from JSON files as they arrive below ``path``."""
-    return spark.readStream.schema(FEED_SCHEMA).json(path)
+def stream_feed(spark: SparkSession, path: str, batch_bytes: int | None = None) -> DataFrame:
+    """Records from JSON files as they arrive below ``path``.
+
+    ``batch_bytes`` splits a long backlog into micro-batches of about that size.
+    """
+    reader = spark.readStream.schema(FEED_SCHEMA)
+    if batch_bytes:
+        reader = reader.option("maxBytesPerTrigger", batch_bytes)
+    return reader.json(path)
 
 
 def with_id(records: DataFrame) -> DataFrame:
@@ -126,6 +132,7 @@ def start_ingest_stream(
     landing: str,
     checkpoint: str,
     remember: str = "7 days",
+    files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Judge a stream of records and write them below ``landing``.
 
@@ -134,7 +141,8 @@ def start_ingest_stream(
     time: a violation that is reported late is still stored.
 
     Each micro-batch replaces a folder of its own, so a batch that is run again
-    after a failure leaves no duplicates.
+    after a failure leaves no duplicates. ``files_per_batch`` gathers small
+    batches into that many files per status instead of one per state partition.
     """
     judged = judge(feed, teams, sprints)
     fresh = (
@@ -146,6 +154,8 @@ def start_ingest_stream(
 
     def store(batch: DataFrame, number: int) -> None:
         folder = f"{landing}/ingest_batch={number}"
+        if files_per_batch:
+            batch = batch.repartition(files_per_batch)
         batch.write.mode("overwrite").partitionBy("status").parquet(folder)
 
     return (

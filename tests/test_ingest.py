@@ -126,6 +126,28 @@ def test_a_late_record_is_kept(spark, small, tmp_path):
     assert landed.count() == 3
 
 
+def test_a_backlog_is_split_and_files_are_gathered(spark, small, tmp_path):
+    for number in range(4):
+        records = [{"request_id": f"b{number}-{i}", **GOOD} for i in range(20)]
+        write_feed(tmp_path / "feed" / f"{number}.json", records)
+    one_file = (tmp_path / "feed" / "0.json").stat().st_size
+    session = ingest.stream_session(spark, state_partitions=3)
+    ingest.start_ingest_stream(
+        ingest.stream_feed(session, str(tmp_path / "feed"), batch_bytes=2 * one_file),
+        small["teams"],
+        small["sprints"],
+        str(tmp_path / "landing"),
+        str(tmp_path / "checkpoint"),
+        files_per_batch=1,
+    ).awaitTermination()
+    written = {}
+    for path in (tmp_path / "landing").glob("ingest_batch=*/status=accepted/*.parquet"):
+        written.setdefault(path.parts[-3], []).append(path)
+    assert len(written) == 2
+    assert all(len(files) == 1 for files in written.values())
+    assert ingest.read_landing(spark, str(tmp_path / "landing")).count() == 80
+
+
 def test_the_stream_session_changes_no_other_session(spark):
     before = spark.conf.get("spark.sql.shuffle.partitions")
     session = ingest.stream_session(spark)

@@ -5,9 +5,10 @@ stored tables. ``frames`` maps table names to DataFrames; a table may be checked
 under the rules of another one, as a feed is under those of its target.
 """
 
+from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stewardspark import fixed_values as fv
@@ -105,6 +106,43 @@ def domain_check(frames: dict[str, DataFrame], rules: dict[str, str] | None = No
     return _union(parts)
 
 
+def with_faults(
+    rows: DataFrame,
+    teams: DataFrame,
+    sprints: DataFrame,
+    required: Iterable[str],
+    references: dict[str, str],
+    *more: Column,
+) -> DataFrame:
+    """Rows with a text ``faults`` that names what is missing or unknown, else empty.
+
+    ``more`` are further faults of a row, each a text or NULL.
+    """
+    known = {"teams": teams, "sprints": sprints}
+    missing = [F.when(F.col(c).isNull(), f"missing {c}") for c in required]
+    unknown = []
+    looked_up = rows
+    for column, target in references.items():
+        ids = known[target].select(F.col("id").alias(column)).distinct()
+        found = ids.withColumn(f"known_{column}", F.lit(True))
+        looked_up = looked_up.join(found, column, "left")
+        absent = F.col(column).isNotNull() & F.col(f"known_{column}").isNull()
+        unknown.append(F.when(absent, f"unknown {column}"))
+    faults = F.concat_ws("; ", *missing, *more, *unknown).alias("faults")
+    return looked_up.select(*rows.columns, faults)
+
+
+def refused_rows(df: DataFrame, name: str, teams: DataFrame, sprints: DataFrame) -> DataFrame:
+    """Rows that lack a required value or name an unknown team or sprint, with why.
+
+    Take them out of a table before it is stored; ``pk_duplicates`` finds the ids
+    that repeat.
+    """
+    spec = TABLES[name]
+    judged = with_faults(df, teams, sprints, spec.required, spec.references)
+    return judged.filter(F.col("faults") != "")
+
+
 def pii_type_rule(incidents: DataFrame) -> DataFrame:
     """Incidents that name a kind of personal data though their type has none."""
     personal = F.col("incident_type").like("%pii%") | F.col("incident_type").like("%data%")

@@ -334,7 +334,10 @@ def _union(parts) -> str:
     return " UNION ALL ".join(part for part in parts if part)
 
 
-_BAND = "CASE WHEN score >= 90 THEN {} WHEN score >= 75 THEN {} WHEN score >= 60 THEN {} ELSE {} END"
+_BAND = (
+    "CASE WHEN score >= 90 THEN {} WHEN score >= 75 THEN {} "
+    "WHEN score >= 60 THEN {} ELSE {} END"
+)
 _BAND_NAMES = _BAND.format("'excellent'", "'good'", "'needs_improvement'", "'critical'")
 _BAND_COLORS = _BAND.format("'#639922'", "'#1D9E75'", "'#BA7517'", "'#E24B4A'")
 
@@ -541,7 +544,8 @@ _BODIES = {
         SELECT {_BAND_NAMES} AS band, {_BAND_COLORS} AS color, count(*) AS n
         FROM compliance_scores GROUP BY ALL""",
     "F04_format_number": f"""
-        SELECT {_short('total_tokens', 1)} AS shown, count(*) AS n FROM token_usage GROUP BY ALL""",
+        SELECT {_short('total_tokens', 1)} AS shown, count(*) AS n
+        FROM token_usage GROUP BY ALL""",
     "F05_format_currency": f"""
         SELECT {_short('roi_estimate_usd', 2, '$')} AS shown, count(*) AS n
         FROM adoption_metrics GROUP BY ALL""",
@@ -551,7 +555,9 @@ _BODIES = {
         FROM compliance_scores GROUP BY ALL""",
     "F07_alert_class": f"""
         SELECT severity, {_map('severity', fv.ALERT_CLASSES, "'alert-info'")} AS alert_class,
-          {_map('severity', fv.ALERT_ICONS, _text(fv.DEFAULT_ALERT_ICON))} AS icon, count(*) AS n FROM alerts GROUP BY ALL""",
+          {_map('severity', fv.ALERT_ICONS, _text(fv.DEFAULT_ALERT_ICON))} AS icon,
+          count(*) AS n
+        FROM alerts GROUP BY ALL""",
     "F08_team_color": """
         SELECT t.name AS team_name,
           CASE t.name WHEN 'NATION_0' THEN '#534AB7' WHEN 'NATION_1' THEN '#1D9E75'

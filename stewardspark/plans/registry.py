@@ -9,7 +9,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardspark import fixed_values as fv
 from stewardspark.functions import calendar, measures, scalars
 from stewardspark.operators import (
     aggregates,

@@ -5,7 +5,7 @@ Fact tables are partitioned by sprint, the column nearly every question filters.
 
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stewardspark.schemas import TABLES, TableSpec
@@ -22,8 +22,8 @@ def load_tables(spark: SparkSession, root: str) -> Tables:
     return Tables({name: lambda name=name: read_table(spark, root, name) for name in TABLES})
 
 
-def apply_defaults(df: DataFrame, spec: TableSpec, *more: str) -> DataFrame:
-    """``df`` with all columns of the table, and the columns named in ``more``.
+def apply_defaults(df: DataFrame, spec: TableSpec, *more: Column | str) -> DataFrame:
+    """``df`` with all columns of the table, and those in ``more``.
 
     A column that ``df`` lacks is filled with its default, or NULL without one. A
     column that is there keeps its values, NULLs included.
@@ -36,7 +36,7 @@ def apply_defaults(df: DataFrame, spec: TableSpec, *more: str) -> DataFrame:
         kind = spec.schema[column].dataType.simpleString()
         return f"CAST({source} AS {kind}) AS `{column}`"
 
-    return df.selectExpr(*[value(column) for column in spec.columns], *more)
+    return df.select(*[F.expr(value(column)) for column in spec.columns], *more)
 
 
 def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> None:

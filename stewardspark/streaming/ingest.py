@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from stewardspark.operators.quality import with_faults
 from stewardspark.schemas import TABLES
 from stewardspark.sources.parquet_tables import apply_defaults
 
@@ -26,7 +27,7 @@ ACCEPTED, REJECTED = "accepted", "rejected"
 _VIOLATIONS = TABLES["policy_violations"]
 LANDING_SCHEMA = (
     ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in _VIOLATIONS.schema)
-    + ", reasons string, status string, ingest_batch bigint"
+    + ", reasons string, status string, ingest_stream string, ingest_batch bigint"
 )
 
 
@@ -82,31 +83,14 @@ def with_id(records: DataFrame) -> DataFrame:
 
 def judge(records: DataFrame, teams: DataFrame, sprints: DataFrame) -> DataFrame:
     """Records in the form of the violations table, with ``status`` and ``reasons``."""
-
-    def known(dimension: DataFrame, column: str) -> DataFrame:
-        ids = dimension.select(F.col("id").alias(column)).distinct()
-        return ids.withColumn(f"known_{column}", F.lit(True))
-
-    whole = F.regexp_replace("line_number", r"\.0+$", "")
-    line = whole.try_cast("int")
-    missing = [F.when(F.col(c).isNull(), f"missing {c}") for c in REQUIRED]
+    line = F.regexp_replace("line_number", r"\.0+$", "").try_cast("int")
     bad_line = F.when(F.col("line_number").isNotNull() & line.isNull(), "bad line_number")
-    unknown = [
-        F.when(F.col(c).isNotNull() & F.col(f"known_{c}").isNull(), f"unknown {c}")
-        for c in ("team_id", "sprint_id")
-    ]
-    reasons = F.concat_ws("; ", *missing, bad_line, *unknown)
-    looked_up = (
-        with_id(records)
-        .join(known(teams, "team_id"), "team_id", "left")
-        .join(known(sprints, "sprint_id"), "sprint_id", "left")
-        .withColumns({"line_number": line, "reasons": reasons})
-    )
-    given = looked_up.select(
-        *[c for c in _VIOLATIONS.columns if c in looked_up.columns], "reasons"
+    checked = with_faults(
+        with_id(records), teams, sprints, REQUIRED, _VIOLATIONS.references, bad_line
     )
-    status = F.when(F.col("reasons") == "", ACCEPTED).otherwise(REJECTED)
-    return apply_defaults(given, _VIOLATIONS, "reasons").withColumn("status", status)
+    status = F.when(F.col("faults") == "", ACCEPTED).otherwise(REJECTED)
+    typed = checked.withColumns({"line_number": line, "reasons": F.col("faults")})
+    return apply_defaults(typed, _VIOLATIONS, "reasons", status.alias("status"))
 
 
 def ingest_batch(
@@ -119,8 +103,9 @@ def ingest_batch(
     # Stored records lie in known sprints, and a repeat lies in the sprint of its
     # first delivery: only those partitions are read. The list collected here is
     # at most as long as the list of sprints.
-    touched = sprints.join(judged, sprints.id == judged.sprint_id, "left_semi").select("id")
-    touched_ids = [row.id for row in touched.collect()]
+    known = sprints.select(F.col("id").alias("sprint_id"))
+    touched = judged.select("sprint_id").distinct().join(known, "sprint_id", "left_semi")
+    touched_ids = [row.sprint_id for row in touched.collect()]
     seen = stored.filter(F.col("sprint_id").isin(touched_ids)).select("id")
     return judged.join(seen, "id", "left_anti").select(*judged.columns)
 
@@ -141,7 +126,9 @@ def start_ingest_stream(
     time: a violation that is reported late is still stored.
 
     Each micro-batch replaces a folder of its own, so a batch that is run again
-    after a failure leaves no duplicates. ``files_per_batch`` gathers small
+    after a failure leaves no duplicates. The folder also bears the id of the
+    stream, which its checkpoint keeps: a stream that starts over with another
+    checkpoint never replaces what is there. ``files_per_batch`` gathers small
     batches into that many files per status instead of one per state partition.
     """
     judged = judge(feed, teams, sprints)
@@ -153,7 +140,8 @@ def start_ingest_stream(
     )
 
     def store(batch: DataFrame, number: int) -> None:
-        folder = f"{landing}/ingest_batch={number}"
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        folder = f"{landing}/ingest_stream={stream}/ingest_batch={number}"
         if files_per_batch:
             batch = batch.repartition(files_per_batch)
         batch.write.mode("overwrite").partitionBy("status").parquet(folder)

@@ -8,7 +8,6 @@ from pyspark.sql import SparkSession
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
 from stewardspark.schemas import TABLES  # noqa: E402
-from stewardspark.sources.parquet_tables import apply_defaults  # noqa: E402
 from stewardspark.tables import Tables  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
@@ -184,7 +183,3 @@ def small(make):
         security_incidents=incidents, lifecycle_metrics=lifecycle, alerts=alerts,
     )
 
-
-@pytest.fixture
-def with_defaults():
-    return apply_defaults

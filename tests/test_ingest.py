@@ -112,10 +112,29 @@ def test_stream_equals_batch_also_when_delivered_twice(spark, small, tmp_path):
 
 def test_a_batch_run_again_replaces_its_folder(spark, small, tmp_path):
     write_feed(tmp_path / "feed" / "one.json", RECORDS[:6])
-    assert run_stream(spark, small, tmp_path).count() == 6
-    # A fresh checkpoint: the stream starts over and runs batch 0 a second time.
+    landed = run_stream(spark, small, tmp_path)
+    assert landed.count() == 6
+    first_stream = landed.first().ingest_stream
+    # Batch 0 has written its folder, but its end was not recorded.
+    checkpoint = tmp_path / "checkpoint"
+    for name in ("0", ".0.crc", "1", ".1.crc"):
+        done = checkpoint / "commits" / name
+        if done.exists():
+            done.rename(tmp_path / f"done{name}")
+    again = run_stream(spark, small, tmp_path)
+    assert again.count() == 6
+    assert {row.ingest_stream for row in again.collect()} == {first_stream}
+
+
+def test_a_new_checkpoint_replaces_nothing(spark, small, tmp_path):
+    write_feed(tmp_path / "feed" / "one.json", RECORDS[:6])
+    run_stream(spark, small, tmp_path)
+    (tmp_path / "feed").rename(tmp_path / "old_feed")
     (tmp_path / "checkpoint").rename(tmp_path / "lost")
-    assert run_stream(spark, small, tmp_path).count() == 6
+    write_feed(tmp_path / "feed" / "two.json", [{"request_id": "other", **GOOD}])
+    landed = run_stream(spark, small, tmp_path)
+    assert landed.count() == 7
+    assert landed.select("ingest_stream").distinct().count() == 2
 
 
 def test_a_late_record_is_kept(spark, small, tmp_path):
@@ -141,7 +160,7 @@ def test_a_backlog_is_split_and_files_are_gathered(spark, small, tmp_path):
         files_per_batch=1,
     ).awaitTermination()
     written = {}
-    for path in (tmp_path / "landing").glob("ingest_batch=*/status=accepted/*.parquet"):
+    for path in (tmp_path / "landing").glob("*/ingest_batch=*/status=accepted/*.parquet"):
         written.setdefault(path.parts[-3], []).append(path)
     assert len(written) == 2
     assert all(len(files) == 1 for files in written.values())

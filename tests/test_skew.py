@@ -5,8 +5,9 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from stewardspark.operators import aggregates, kpis, reads, selection, summaries
+from stewardspark.operators import aggregates, kpis, quality, reads, selection, summaries
 from stewardspark.sources import parquet_tables as pt
+from stewardspark.streaming import ingest
 
 ROWS = 60_000
 
@@ -101,3 +102,34 @@ def test_a_large_sprint_is_written_by_several_tasks(spark, hot, tmp_path):
 
 def test_team_scope_keeps_every_row(hot):
     assert kpis.team_scope(hot["violations"], hot["teams"], "Team 1").count() == HOT_COUNT
+
+
+def test_one_request_delivered_very_often_is_stored_once(spark, hot):
+    records = spark.range(ROWS).select(
+        F.when(F.col("id") % 3 == 0, "again").otherwise(F.col("id").cast("string")).alias(
+            "request_id"
+        ),
+        F.lit("t1").alias("team_id"),
+        F.lit("s1").alias("sprint_id"),
+        *[F.lit("x").alias(c) for c in ("policy_id", "policy_name", "category", "severity")],
+        *[F.lit(None).cast("string").alias(c) for c in ingest.OPTIONAL],
+    )
+    judged = ingest.ingest_batch(records, hot["teams"], hot["sprints"])
+    counts = {r.status: r["count"] for r in judged.groupBy("status").count().collect()}
+    assert counts == {"accepted": ROWS - ROWS // 3 + 1}
+    again = ingest.ingest_batch(records, hot["teams"], hot["sprints"], ingest.accepted(judged))
+    assert again.count() == 0
+
+
+def test_a_very_frequent_id_is_one_duplicate(hot):
+    often = hot["violations"].withColumn(
+        "id", F.when(F.col("team_id") == "t1", "same").otherwise(F.col("id"))
+    )
+    found = quality.pk_duplicates({"policy_violations": often}).collect()
+    assert found == [("policy_violations", "same", HOT_COUNT)]
+    orphans = quality.fk_orphans(
+        {"policy_violations": hot["violations"]},
+        hot["teams"].filter("id <> 't1'"),
+        hot["sprints"],
+    ).collect()
+    assert orphans == [("policy_violations", "team_id", "t1", HOT_COUNT)]

@@ -71,7 +71,9 @@ def test_run_query_binds_values(small):
         ("s1", "high", 1),
     )
     assert [r.id for r in by_place.collect()] == ["v2"]
-    by_name = pt.run_query(small, "SELECT count(*) AS n FROM alerts WHERE severity = :s", {"s": "high"})
+    by_name = pt.run_query(
+        small, "SELECT count(*) AS n FROM alerts WHERE severity = :s", {"s": "high"}
+    )
     assert by_name.first().n == 10
     hostile = pt.run_query(small, "SELECT id FROM teams WHERE name = ?", ("x' OR '1'='1",))
     assert hostile.count() == 0
@@ -133,6 +135,26 @@ def test_planted_faults_are_found(make, small):
     assert [r.id for r in quality.pii_type_rule(small["security_incidents"]).collect()] == ["i2"]
 
 
+def test_refused_rows(make, small):
+    refused = quality.refused_rows(
+        bad_violations(make), "policy_violations", small["teams"], small["sprints"]
+    )
+    assert sorted(str((r.id, r.faults)) for r in refused.collect()) == sorted(
+        map(
+            str,
+            [
+                ("2", "unknown team_id"),
+                ("3", "missing severity"),
+                (None, "missing id"),
+                (None, "missing id; missing sprint_id"),
+            ],
+        )
+    )
+    # Alerts may name no team, or an unknown one.
+    alerts = quality.refused_rows(small["alerts"], "alerts", small["teams"], small["sprints"])
+    assert alerts.count() == 0
+
+
 def test_empty_tables_have_no_faults(make, small):
     frames = {name: small[name].limit(0) for name in TABLES}
     assert quality.pk_duplicates(frames).count() == 0

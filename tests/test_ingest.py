@@ -2,6 +2,7 @@ import json
 
 from pyspark.sql import functions as F
 
+from stewardspark.sources.parquet_tables import read_table, write_table
 from stewardspark.streaming import ingest
 
 GOOD = {
@@ -68,6 +69,22 @@ def test_batch_leaves_out_what_is_stored(spark, small, tmp_path):
     assert again.count() == 4
 
 
+def test_accepted_rows_are_added_to_the_table_once(spark, small, tmp_path):
+    root = str(tmp_path / "root")
+    write_table(small["policy_violations"], root, "policy_violations")
+    write_feed(tmp_path / "feed" / "one.json", RECORDS[:6])
+    for _ in range(2):
+        stored = read_table(spark, root, "policy_violations")
+        batch = ingest.ingest_batch(
+            ingest.read_feed(spark, str(tmp_path / "feed")),
+            small["teams"],
+            small["sprints"],
+            stored,
+        )
+        write_table(ingest.accepted(batch), root, "policy_violations")
+        assert read_table(spark, root, "policy_violations").count() == 6 + 2
+
+
 def test_unreadable_line_is_rejected(spark, small, tmp_path):
     (tmp_path / "bad.json").write_text("{not json\n" + json.dumps(GOOD) + "\n")
     feed = ingest.read_feed(spark, str(tmp_path / "bad.json"))

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardspark.llm import token_counts, tokens, top_k, url_rules
+from stewardspark.llm import mixing, token_counts, tokens, top_k, toxicity, url_rules
 from stewardspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,17 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = mixing.mix(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    passages = F.transform("passages", lambda p: F.struct(p["first"], p["last"]))
+    return rows.select("doc_id", "held_out", "score", "predicted", "evidence", passages.alias("passages"))
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
@@ -35,6 +46,8 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op3_url_filters": op3_url_filters,
+    "op7_mixing": op7_mixing,
+    "op8_toxicity": op8_toxicity,
     "op10_exact_top_k": op10_exact_top_k,
 }
 

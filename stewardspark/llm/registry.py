@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardspark.llm import mixing, token_counts, tokens, top_k, toxicity, url_rules
+from stewardspark.llm import mixing, near_dup, token_counts, tokens, top_k, toxicity, url_rules
 from stewardspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -46,6 +50,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_token_counts": op2_token_counts,
     "op3_url_filters": op3_url_filters,
+    "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op10_exact_top_k": op10_exact_top_k,

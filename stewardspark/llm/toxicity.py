@@ -16,6 +16,7 @@ PRIOR_SHARE = 0.3
 SURE = 1.0
 DRIFT = 0.5
 BINS = 400
+TAUGHT_ROWS = 50_000
 LEAST, MOST = -20.0, 60.0
 
 _WORDS = re.compile(r"\w+")
@@ -218,6 +219,7 @@ def toxicity(
     text_column: str = "text",
     label_column: str = "toxic",
     folds: int = 5,
+    taught_rows: int = TAUGHT_ROWS,
 ) -> DataFrame:
     """(id, held_out, score, predicted, evidence, passages) of each row.
 
@@ -231,15 +233,23 @@ def toxicity(
     rows score alike. Repeated rows stay, empty tables give empty results, further
     columns are not read.
 
-    Two passes over the texts: words are counted by label in tasks, then each text
-    is scanned once. The model is a table of fixed size; no other data is sent.
+    The classifier is fitted on about ``taught_rows`` labelled ids, chosen by hash;
+    where there are fewer, on all. That bound is what lets the ids be broadcast, so
+    no text is shuffled but those it is fitted on. Two passes over the texts: words
+    are counted by label in tasks, then each text is scanned once. The model is a
+    table of fixed size.
     """
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(folds))
     rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     taught = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
     taught = taught.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & (fold != 0))
-    taught = taught.groupBy("id").agg(F.max("label").alias("label"))
+    taught = stored(taught.groupBy("id").agg(F.max("label").alias("label")), "taught")
+    known = taught.count()
+    if known > taught_rows:
+        share = F.lit(int(taught_rows / known * 2**30))
+        taught = taught.filter(F.pmod(F.xxhash64("id"), F.lit(2**30)) < share)
+    taught = F.broadcast(taught)
     counts = word_counts(rows.filter(fold != 0).join(taught, "id").select("label", "text"))
     scores = log_odds(counts) - DRIFT
     rate, k = extreme_values(scores, counts[0])

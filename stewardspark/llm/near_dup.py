@@ -120,7 +120,7 @@ def _balls(values: DataFrame, keys: list[str], first_bit: int, bits: int, parts:
             *keys, "value", F.lit(part).alias("segment"), own.alias("own"), F.explode(flips).alias("flip")
         )
         some = some.select(
-            *keys, "segment", F.col("own").bitwiseXOR("flip").alias("key"), "value", (F.col("flip") == 0).alias("is_table")
+            *keys, "segment", F.col("own").bitwiseXOR(F.col("flip")).alias("key"), "value", (F.col("flip") == 0).alias("is_table")
         )
         rows = some if rows is None else rows.unionByName(some)
     return rows

@@ -5,7 +5,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardspark.llm import mixing, near_dup, token_counts, tokens, top_k, toxicity, url_rules
+from stewardspark.llm import mixing, near_dup, repeats, token_counts, tokens, top_k, toxicity, url_rules
 from stewardspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "held_out", "score", "predicted", "evidence", passages.alias("passages"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = repeats.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return top_k.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
@@ -53,6 +58,7 @@ QUERIES: dict[str, Query] = {
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
+    "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_exact_top_k": op10_exact_top_k,
 }
 

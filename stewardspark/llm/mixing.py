@@ -5,6 +5,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from stewardspark.llm.common import SPACE, ranked, stored
 
@@ -196,7 +197,7 @@ def mix(
     return mixed.select("doc_id", "size", "source_size", "target", taken, "passes", "spans", "kept")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _cut(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
     """The part of a text from its first to its last word, white space between them as it is."""
     import re

@@ -5,7 +5,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stewardspark.llm import mixing, near_dup, repeats, token_counts, tokens, top_k, toxicity, url_rules
+from stewardspark.llm import (
+    decontamination,
+    mixing,
+    near_dup,
+    repeats,
+    token_counts,
+    token_files,
+    tokens,
+    top_k,
+    toxicity,
+    url_rules,
+)
 from stewardspark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,6 +29,10 @@ URL_RULES = [
 ]
 
 
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents"), tokens.default_tokenizer())
 
@@ -31,6 +46,12 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = mixing.mix(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", "taken")
@@ -53,9 +74,11 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
     "op3_url_filters": op3_url_filters,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
+    "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,

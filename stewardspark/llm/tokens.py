@@ -113,25 +113,26 @@ class Encoder:
                 return known
         return {p: known[p] for p in wanted.difference(found)} | found
 
-    def ids(self, text: str) -> np.ndarray:
-        pieces = self.pieces(text)
-        known = self.learn(pieces)
-        return np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.uint32)
+    def _grouped(self, texts: Iterable[str]) -> Iterator[tuple[dict, list[str]]]:
+        """The pieces of each text, with a dict that has them; learnt for many texts at once."""
+        group, size = [], 0
+        for text in chain(texts, [None]):
+            if text is not None:
+                group.append(self.pieces(text))
+                size += len(text)
+            if text is None or size >= 16 * BATCH_BYTES:
+                known = self.learn(chain.from_iterable(group))
+                yield from ((known, pieces) for pieces in group)
+                group, size = [], 0
+
+    def ids(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text."""
+        for known, pieces in self._grouped(texts):
+            yield np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.uint32)
 
     def counts(self, texts: Iterable[str]) -> list[int]:
         """Number of ids of each text, for an encoder of lengths."""
-        out, group, size = [], [], 0
-        for text in texts:
-            group.append(self.pieces(text))
-            size += len(text)
-            if size >= 16 * BATCH_BYTES:
-                out += self._counted(group)
-                group, size = [], 0
-        return out + self._counted(group)
-
-    def _counted(self, group: list[list[str]]) -> list[int]:
-        known = self.learn(chain.from_iterable(group))
-        return [sum(map(known.__getitem__, pieces)) for pieces in group]
+        return [sum(map(known.__getitem__, pieces)) for known, pieces in self._grouped(texts)]
 
 
 @lru_cache(maxsize=4)

@@ -1,7 +1,7 @@
 """SimHash near-duplicates: multi-index hashing and connected components."""
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -47,17 +47,19 @@ def simhash(text: str | None, shingle: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, fingerprint as a signed long) of each row of ``docs`` (id, text)."""
+    """(id, fingerprint as a signed long, kept) of each row of ``docs`` (id, text, kept)."""
     kind = docs.schema["id"].dataType.simpleString()
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             values = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values.view(np.int64))], names=["id", "fingerprint"]
+                [batch.column(0), pa.array(values.view(np.int64)), batch.column(2)],
+                names=["id", "fingerprint", "kept"],
             )
 
-    return docs.select("id", "text").mapInArrow(hashed, f"id {kind}, fingerprint long")
+    whole = docs.schema["kept"].dataType.simpleString()
+    return docs.select("id", "text", "kept").mapInArrow(hashed, f"id {kind}, fingerprint long, kept {whole}")
 
 
 def _near(values: np.ndarray, tables: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -160,6 +162,24 @@ def links(values: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
     return found.distinct()
 
 
+def _classes(
+    docs: DataFrame, shingle: int, distance: int, keep: Sequence[str], id_column: str, text_column: str
+) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, id, fingerprint, kept) and classes (value, component, component_id)."""
+    kept = F.struct(*[docs[c] for c in keep] or [F.lit(0).alias("none")]).alias("kept")
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), kept)
+    marked = fingerprints(rows, shingle).withColumn("row", F.monotonically_increasing_id())
+    marked = stored(marked, "fingerprints")
+    values = marked.groupBy(F.col("fingerprint").alias("value")).agg(F.min("id").alias("least"))
+    values = stored(values, "values")
+    found = components(links(values.select("value"), distance))
+    found = found.select(F.col("node").alias("value"), F.col("component"))
+    joined = values.join(found, "value", "left")
+    joined = joined.withColumn("component", F.coalesce("component", "value"))
+    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    return marked, joined.join(least, "component").select("value", "component", "component_id")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = 3,
@@ -179,17 +199,21 @@ def near_duplicates(
     Copies meet in their fingerprint before anything is linked: only different
     fingerprints are looked up, under 66 keys each.
     """
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    marked = stored(fingerprints(rows, shingle), "fingerprints")
-    values = marked.groupBy(F.col("fingerprint").alias("value")).agg(F.min("id").alias("least"))
-    values = stored(values, "values")
-    found = components(links(values.select("value"), distance))
-    found = found.select(F.col("node").alias("value"), F.col("component"))
-    joined = values.join(found, "value", "left")
-    joined = joined.withColumn("component", F.coalesce("component", "value"))
-    least = joined.groupBy("component").agg(F.min("least").alias("component_id"))
-    named = joined.join(least, "component").select("value", "component_id")
+    marked, named = _classes(docs, shingle, distance, (), id_column, text_column)
     hexed = F.lpad(F.lower(F.hex("fingerprint")), 16, "0")
     return marked.join(named, marked["fingerprint"] == named["value"]).select(
         F.col("id").alias(id_column), hexed.alias("fingerprint"), "component_id"
     )
+
+
+def without_near_duplicates(
+    docs: DataFrame, shingle: int = 3, distance: int = 3, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each component: the one with the smallest id, nulls last;
+    of rows with that id any one."""
+    marked, named = _classes(docs, shingle, distance, docs.columns, id_column, text_column)
+    rows = marked.select("row", "id", "fingerprint")
+    rows = rows.join(named, rows["fingerprint"] == named["value"])
+    first = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")
+    first = rows.groupBy("component").agg(first).select(F.col("first.row").alias("row"))
+    return marked.join(stored(first, "kept-rows"), "row", "left_semi").select("kept.*")

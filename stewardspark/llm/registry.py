@@ -5,8 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from stewardspark.llm import (
     decontamination,
+    line_dedup,
     mixing,
     near_dup,
     repeats,
@@ -42,6 +44,10 @@ def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge_urls(table(spark, sf_dir, "pages"), rules)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
@@ -77,14 +83,17 @@ QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
     "op3_url_filters": op3_url_filters,
+    "op4_line_dedup": op4_line_dedup,
     "op5_simhash_near_dedup": op5_simhash_near_dedup,
     "op6_decontamination": op6_decontamination,
     "op7_mixing": op7_mixing,
     "op8_toxicity": op8_toxicity,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_exact_top_k": op10_exact_top_k,
+    "pipeline": corpus_pipeline.run,
 }
 
+
 ORACLE_SQL: dict[str, str] = {
     "op3_url_filters": r"""
 WITH cut AS (

@@ -2,7 +2,7 @@
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -155,7 +155,7 @@ _PASSAGES = "array<struct<first:int,last:int,score:double,evidence:double>>"
 
 
 def evidence(docs: DataFrame, scores: np.ndarray, rate: float, k: float) -> DataFrame:
-    """(id, evidence, passages) of each row of ``docs`` (id, text); texts are read whole."""
+    """(id, evidence, passages, kept) of each row of ``docs`` (id, text, kept); texts are read whole."""
     sent = docs.sparkSession.sparkContext.broadcast(scores.astype(np.float32))
     kind = docs.schema["id"].dataType.simpleString()
 
@@ -179,11 +179,13 @@ def evidence(docs: DataFrame, scores: np.ndarray, rate: float, k: float) -> Data
                 pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("evidence", pa.float64())])
             )
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([e for e, _ in judged], pa.float64()), pa.array(listed, struct)],
-                names=["id", "evidence", "passages"],
+                [batch.column(0), pa.array([e for e, _ in judged], pa.float64()), pa.array(listed, struct), batch.column(2)],
+                names=["id", "evidence", "passages", "kept"],
             )
 
-    return docs.select("id", "text").mapInArrow(judge, f"id {kind}, evidence double, passages {_PASSAGES}")
+    whole = docs.schema["kept"].dataType.simpleString()
+    schema = f"id {kind}, evidence double, passages {_PASSAGES}, kept {whole}"
+    return docs.select("id", "text", "kept").mapInArrow(judge, schema)
 
 
 def calibration(spark: SparkSession, judged: DataFrame) -> tuple[float, float]:
@@ -220,14 +222,15 @@ def toxicity(
     label_column: str = "toxic",
     folds: int = 5,
     taught_rows: int = TAUGHT_ROWS,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """(id, held_out, score, predicted, evidence, passages) of each row.
+    """(id, held_out, score, predicted, evidence, passages, kept) of each row.
 
     ``labels`` gives 0 or 1 for some ids. Rows whose crc32(id as text) mod
     ``folds`` is 0 are held out: their labels are never read. ``score`` is the
     probability of label 1, ``predicted`` 1 from 0.5 on, ``passages`` the
-    significant toxic passages (first and last word, score, evidence). Only the
-    text is scored. An id labelled more than once counts as 1 if any label is 1;
+    significant toxic passages (first and last word, score, evidence), ``kept`` a
+    struct of the columns ``keep``. Only the text is scored. An id labelled more than once counts as 1 if any label is 1;
     labels other than 0 and 1 are not read. A null id is held out. Null and empty
     texts have no words and the least evidence. Without labels of both kinds all
     rows score alike. Repeated rows stay, empty tables give empty results, further
@@ -241,7 +244,8 @@ def toxicity(
     """
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(folds))
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    kept = F.struct(*[docs[c] for c in keep] or [F.lit(0).alias("none")]).alias("kept")
+    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), kept)
     taught = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
     taught = taught.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & (fold != 0))
     taught = stored(taught.groupBy("id").agg(F.max("label").alias("label")), "taught")
@@ -263,4 +267,11 @@ def toxicity(
         (score >= 0.5).cast("int").alias("predicted"),
         "evidence",
         "passages",
+        "kept",
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """``docs`` without the rows predicted toxic, whatever their labels."""
+    judged = toxicity(docs, labels, keep=docs.columns, **options)
+    return judged.filter("predicted = 0").select("kept.*")

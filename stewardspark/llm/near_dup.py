@@ -71,7 +71,9 @@ def _near(values: np.ndarray, tables: np.ndarray, distance: int) -> tuple[np.nda
         before = labels.copy()
         for at in range(0, len(values), 512):
             block = values[at : at + 512]
-            close = np.bitwise_count(block[:, None] ^ values[own][None, :]) <= distance
+            # Unsigned: of a negative number numpy counts the bits of its absolute value.
+            apart = (block[:, None] ^ values[own][None, :]).view(np.uint64)
+            close = np.bitwise_count(apart) <= distance
             least = np.where(close, labels[own][None, :], np.iinfo(np.int64).max).min(1)
             labels[at : at + 512] = np.minimum(labels[at : at + 512], least)
             back = np.where(close, labels[at : at + 512][:, None], np.iinfo(np.int64).max).min(0)

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stewardspark.llm.common import stored
@@ -14,8 +14,8 @@ from stewardspark.llm.common import stored
 LENGTH = 400
 GRAM = 100
 HOT = 1000
-CHUNK = 1 << 19
-BLOCK_BYTES = 4 << 20
+CHUNK = 1 << 18
+BLOCK_BYTES = 1 << 20
 
 #: Every difference mod 16 is one of two members.
 PERIOD = 16
@@ -91,12 +91,12 @@ def _batch(columns: list, types: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
 
-_RUNS = "bucket long, r1 long, r2 long, k1 long, k2 long, first long, starts int"
+_RUNS = "bucket long, run long, k1 long, k2 long, first long, starts int"
 
 
 def _find_runs(length: int, gram: int):
-    names = ["bucket", "r1", "r2", "k1", "k2", "first", "starts"]
-    types = [pa.int64()] * 6 + [pa.int32()]
+    names = ["bucket", "run", "k1", "k2", "first", "starts"]
+    types = [pa.int64()] * 5 + [pa.int32()]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,14 +108,14 @@ def _find_runs(length: int, gram: int):
                 view, (k1, k2) = memoryview(text), _text_key(text)
                 digests, places = [], []
                 for first, starts, bucket in runs(text, length, gram):
-                    digests.append(xxhash.xxh3_128_digest(view[first : first + starts + length - 1]))
+                    digests.append(xxhash.xxh3_64_digest(view[first : first + starts + length - 1]))
                     places.append((first, starts, bucket))
-                halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2).tolist()
+                whole = np.frombuffer(b"".join(digests), ">i8").tolist()
                 rows += [
-                    (bucket, r1, r2, k1, k2, first, starts)
-                    for (first, starts, bucket), (r1, r2) in zip(places, halves, strict=True)
+                    (bucket, run, k1, k2, first, starts)
+                    for (first, starts, bucket), run in zip(places, whole, strict=True)
                 ]
-                if len(rows) > 100_000:
+                if len(rows) > 30_000:
                     yield _batch(list(zip(*rows, strict=True)), types, names)
                     rows = []
             if rows:
@@ -276,7 +276,7 @@ def _explode_hot(length: int):
                     (*_two_longs(xxhash.xxh3_128_intdigest(view[i : i + length])), k1, k2, first + i)
                     for i in range(len(data) - length + 1)
                 ]
-                if len(rows) > 100_000:
+                if len(rows) > 30_000:
                     yield _batch(list(zip(*rows, strict=True)), types, names)
                     rows = []
             if rows:
@@ -297,14 +297,17 @@ def _key_udf():
 
 def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """(k1, k2, spans) of the texts of ``rows`` (k1, k2, data) that hold a repeated string."""
-    found = stored(rows.select("data").mapInArrow(_find_runs(length, gram), _RUNS), "runs")
-    kinds = found.groupBy("bucket", "r1", "r2").agg(
+    found = rows.select("data").mapInArrow(_find_runs(length, gram), _RUNS)
+    # Most buckets have one run, which cannot repeat: the others are few and are kept.
+    in_bucket = F.count("*").over(Window.partitionBy("bucket"))
+    found = stored(found.withColumn("n", in_bucket).filter("n > 1").drop("n"), "runs")
+    kinds = found.groupBy("bucket", "run").agg(
         F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "starts")).alias("one")
     )
     per_bucket = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"))
     several = per_bucket.filter("kinds > 1")
     kinds = stored(kinds, "run-kinds")
-    whole = found.join(kinds.filter("n > 1").select("bucket", "r1", "r2"), ["bucket", "r1", "r2"])
+    whole = found.join(kinds.filter("n > 1").select("bucket", "run"), ["bucket", "run"])
     whole = whole.select("k1", "k2", "first", (F.col("first") + F.col("starts") + (length - 1)).alias("last"))
     unlike = kinds.join(several, "bucket")
     unlike = unlike.select("bucket", "kinds", "one.*")

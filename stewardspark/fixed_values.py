@@ -237,17 +237,18 @@ UNMEASURED_POLICIES = ["DP-002", "DM-002", "AR-001", "TS-002", "DC-001"]
 COMPLIANCE_ALERT_BELOW = 60
 ADOPTION_MILESTONE_PCT = 75
 
-# Text patterns of our own choice.
+# Text patterns of our own choice. Numbers stand by themselves: digits within a
+# longer number, word or hash are none.
 #
 # An e-mail address may only start where no character of its local part stands
 # before it, or right where the last hit ended. Without that, a long unbroken
 # run of letters would be searched again from each of its characters.
 TEXT_PATTERNS = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++"
-    r"@[A-Za-z0-9-]++\.[A-Za-z0-9.-]*[A-Za-z0-9-]",
+    r"@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "phone": r"\+1 \([0-9]{3}\) [0-9]{3}-[0-9]{4}",
-    "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
-    "credit_card": r"[0-9]{16}",
+    "ssn": r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b",
+    "credit_card": r"\b[0-9]{16}\b",
     "secret": r'token = "[0-9a-f]{40}"',
 }
 

@@ -60,7 +60,7 @@ def role_mismatch(violations, policies, listed) -> DataFrame:
 
 
 def policy_evaluation(violations, quality, teams, policies=None) -> DataFrame:
-    """pass, fail or no_data per policy, team and sprint.
+    """pass, fail or no_data per policy, team and sprint; no_data without a threshold.
 
     A policy is judged on its number of violations, or on the mean of a quality
     measure. All teams and sprints count that reported a violation or a quality
@@ -82,8 +82,8 @@ def policy_evaluation(violations, quality, teams, policies=None) -> DataFrame:
     wide = counts.join(means, keys, "full").na.fill(0.0, counted)
 
     def judged(policy):
-        name, threshold = policy[0], float(policy[6])
-        if name in fv.UNMEASURED_POLICIES:
+        name, threshold = policy[0], None if policy[6] is None else float(policy[6])
+        if name in fv.UNMEASURED_POLICIES or threshold is None:
             measure, kept = F.lit(None).cast("double"), F.lit(None).cast("boolean")
         else:
             measure = F.col(f"`{name}`")
@@ -92,7 +92,7 @@ def policy_evaluation(violations, quality, teams, policies=None) -> DataFrame:
         status = F.when(kept, "pass").when(~kept, "fail").otherwise("no_data")
         return F.struct(
             F.lit(name).alias("policy_id"),
-            F.lit(threshold).alias("threshold"),
+            F.lit(threshold).cast("double").alias("threshold"),
             measure.alias("measure"),
             status.alias("status"),
         )

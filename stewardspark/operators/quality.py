@@ -61,48 +61,60 @@ def fk_orphans(
 ) -> DataFrame:
     """Team and sprint ids that do not exist, with their number of rows.
 
-    Rows are counted per id first, so only the distinct ids are looked up.
+    Rows are counted per pair of ids first, in one scan of a table; only the distinct
+    ids are looked up.
     """
     known = {"teams": teams, "sprints": sprints}
     parts = []
     for name, df in frames.items():
-        for column, target in _rules(name, rules).references.items():
-            used = (
-                df.filter(F.col(column).isNotNull())
-                .groupBy(F.col(column).alias("key"))
-                .agg(F.count("*").alias("row_count"))
-            )
-            ids = known[target].select(F.col("id").alias("key"))
-            parts.append(
-                used.join(ids, "key", "left_anti").select(
-                    F.lit(name).alias("table_name"),
-                    F.lit(column).alias("column_name"),
-                    "key",
-                    "row_count",
-                )
+        references = _rules(name, rules).references
+        if not references:
+            continue
+        ids = _union(
+            [
+                known[target].select(F.lit(column).alias("column_name"), F.col("id").alias("key"))
+                for column, target in references.items()
+            ]
+        )
+        used = _values_counted(df, list(references), "key").filter(F.col("key").isNotNull())
+        used = used.groupBy("column_name", "key").agg(F.sum("row_count").alias("row_count"))
+        parts.append(
+            used.join(ids, ["column_name", "key"], "left_anti").select(
+                F.lit(name).alias("table_name"), "column_name", "key", "row_count"
             )
+        )
     return _union(parts)
 
 
+def _values_counted(df: DataFrame, columns: list[str], value: str) -> DataFrame:
+    """(column_name, value, row_count): the columns' values, from one grouped scan."""
+    counted = df.groupBy(*columns).agg(F.count("*").alias("row_count"))
+    each = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias(value)) for c in columns]
+    return counted.select(F.inline(F.array(*each)), "row_count")
+
+
 def domain_check(frames: dict[str, DataFrame], rules: dict[str, str] | None = None) -> DataFrame:
-    """Categories and severities outside the known lists, with their number of rows."""
+    """Categories and severities outside the known lists, with their number of rows.
+
+    One scan of each table that has such columns.
+    """
     parts = []
     for name, df in frames.items():
         spec = _rules(name, rules)
         severities = fv.ALERT_SEVERITIES if spec.name == "alerts" else fv.SEVERITIES
-        for column, allowed in (("category", fv.CATEGORIES), ("severity", severities)):
-            if column in spec.columns:
-                parts.append(
-                    df.filter(~F.col(column).isin(allowed))
-                    .groupBy(F.col(column).alias("value"))
-                    .agg(F.count("*").alias("row_count"))
-                    .select(
-                        F.lit(name).alias("table_name"),
-                        F.lit(column).alias("column_name"),
-                        "value",
-                        "row_count",
-                    )
-                )
+        allowed = {"category": fv.CATEGORIES, "severity": severities}
+        columns = [column for column in allowed if column in spec.columns]
+        if not columns:
+            continue
+        unknown = F.lit(False)
+        for column in columns:
+            outside = ~F.col("value").isin(allowed[column])
+            unknown = unknown | ((F.col("column_name") == column) & outside)
+        values = _values_counted(df, columns, "value").filter(unknown)
+        values = values.groupBy("column_name", "value").agg(F.sum("row_count").alias("row_count"))
+        parts.append(
+            values.select(F.lit(name).alias("table_name"), "column_name", "value", "row_count")
+        )
     return _union(parts)
 
 

@@ -388,7 +388,7 @@ _INGEST = """
 # DuckDB's regex engine needs no guard against long runs and knows no look-behind.
 _TEXT_PATTERNS = {
     **fv.TEXT_PATTERNS,
-    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9-]",
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
 }
 
 

@@ -3,6 +3,8 @@
 Fact tables are partitioned by sprint, the column nearly every question filters.
 """
 
+import re
+import uuid
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,12 +46,19 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> No
 
     The rebalance brings the rows of a sprint together, so that a sprint gets few
     large files, and lets adaptive execution split a sprint that is too large for
-    one task. What is written does not change.
+    one task. What is written does not change. ``overwrite`` replaces the whole table
+    whatever the session's setting. An empty partition value is refused: a path
+    cannot hold it, and it would be read back as NULL.
     """
     spec = TABLES[name]
     rows = apply_defaults(df, spec)
+    for column in spec.partition_by:
+        refused = F.raise_error(F.lit(f"{name}: empty {column}"))
+        value = F.when(F.col(column) == "", refused).otherwise(F.col(column))
+        rows = rows.withColumn(column, value)
     rows = rows.hint("rebalance", *[F.col(column) for column in spec.partition_by])
-    rows.write.mode(mode).partitionBy(*spec.partition_by).parquet(f"{root}/{name}")
+    writer = rows.write.mode(mode).option("partitionOverwriteMode", "static")
+    writer.partitionBy(*spec.partition_by).parquet(f"{root}/{name}")
 
 
 def full_refresh(tables: Tables, root: str) -> None:
@@ -71,15 +80,36 @@ def full_refresh(tables: Tables, root: str) -> None:
             list(pool.map(refresh, sorted(names)))
 
 
+_QUOTED = re.compile(r"""('(?:[^'\\]|\\.|'')*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*.*?\*/)""", re.DOTALL)
+
+
 def run_query(tables: Tables, sql: str, params: tuple | list | dict = ()) -> DataFrame:
-    """Run SQL text over the tables with values bound to ``?`` or ``:name``."""
+    """Run SQL text over the tables with values bound to ``?`` or ``:name``.
+
+    Table names are whole words in any case, outside of quotes and comments. They
+    stand for views with names of their own, gone when the text has been read, so a
+    caller's views are neither used nor replaced.
+    """
     if not isinstance(params, dict):
         params = list(params)
-    named = [name for name in tables if name in sql]
-    for name in named:
-        tables[name].createOrReplaceTempView(name)
-    spark = tables[named[0]].sparkSession if named else SparkSession.active()
-    return spark.sql(sql, args=params or None)
+    mark, views = uuid.uuid4().hex, {}
+
+    def view(word: re.Match) -> str:
+        name = word[0].lower()
+        if name not in views:
+            views[name] = f"{name}_{mark}"
+            tables[name].createOrReplaceTempView(views[name])
+        return views[name]
+
+    names = re.compile(rf"(?<![\w:.])(?:{'|'.join(tables)})(?!\w)", re.IGNORECASE)
+    parts = _QUOTED.split(sql)
+    text = "".join(part if i % 2 else names.sub(view, part) for i, part in enumerate(parts))
+    spark = tables[next(iter(views))].sparkSession if views else SparkSession.active()
+    try:
+        return spark.sql(text, args=params or None)
+    finally:
+        for name in views.values():
+            spark.catalog.dropTempView(name)
 
 
 def row_and_null_counts(tables: Tables) -> DataFrame:

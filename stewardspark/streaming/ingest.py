@@ -11,7 +11,8 @@ would give different records the same id at some billions of rows. Without a
 ``request_id`` every delivery is a violation of its own.
 """
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -82,32 +83,50 @@ def with_id(records: DataFrame) -> DataFrame:
 
 
 def judge(records: DataFrame, teams: DataFrame, sprints: DataFrame) -> DataFrame:
-    """Records in the form of the violations table, with ``status`` and ``reasons``."""
+    """Records with their id in the form of the violations table, with ``status`` and ``reasons``."""
     line = F.regexp_replace("line_number", r"\.0+$", "").try_cast("int")
     bad_line = F.when(F.col("line_number").isNotNull() & line.isNull(), "bad line_number")
     checked = with_faults(
-        with_id(records), teams, sprints, REQUIRED, _VIOLATIONS.references, bad_line
+        records, teams, sprints, REQUIRED, _VIOLATIONS.references, bad_line
     )
     status = F.when(F.col("faults") == "", ACCEPTED).otherwise(REJECTED)
     typed = checked.withColumns({"line_number": line, "reasons": F.col("faults")})
     return apply_defaults(typed, _VIOLATIONS, "reasons", status.alias("status"))
 
 
+def one_per_id(judged: DataFrame) -> DataFrame:
+    """One row per id: an accepted one before rejected ones, then the least by content.
+
+    The choice does not depend on the order of rows. Spark drops all but the first
+    of an id in each task before the shuffle, so a record that is delivered very
+    often does not gather in one task.
+    """
+    rest = [column for column in judged.columns if column not in ("id", "status")]
+    order = Window.partitionBy("id").orderBy("status", *rest)
+    first = judged.withColumn("_copy", F.row_number().over(order)).filter(F.col("_copy") == 1)
+    return first.drop("_copy")
+
+
+def _unseen(judged: DataFrame, seen: DataFrame) -> DataFrame:
+    """``judged`` without rows that ``seen`` has under the same id and reasons."""
+    return judged.join(seen.select("id", "reasons"), ["id", "reasons"], "left_anti").select(
+        *judged.columns
+    )
+
+
 def ingest_batch(
     records: DataFrame, teams: DataFrame, sprints: DataFrame, stored: DataFrame | None = None
 ) -> DataFrame:
-    """Judge a batch; leave out repeats within it and records already ``stored``."""
-    judged = judge(records, teams, sprints).dropDuplicates(["id"])
+    """Judge a batch; leave out repeats within it and accepted records already ``stored``.
+
+    Of the copies of a record an accepted one counts, so a corrected delivery beats
+    a faulty one. Ids are looked for in all of ``stored``: a repeat may name another
+    sprint than its first delivery. Only the ids are read.
+    """
+    judged = one_per_id(judge(with_id(records), teams, sprints))
     if stored is None:
         return judged
-    # Stored records lie in known sprints, and a repeat lies in the sprint of its
-    # first delivery: only those partitions are read. The list collected here is
-    # at most as long as the list of sprints.
-    known = sprints.select(F.col("id").alias("sprint_id"))
-    touched = judged.select("sprint_id").distinct().join(known, "sprint_id", "left_semi")
-    touched_ids = [row.sprint_id for row in touched.collect()]
-    seen = stored.filter(F.col("sprint_id").isin(touched_ids)).select("id")
-    return judged.join(seen, "id", "left_anti").select(*judged.columns)
+    return _unseen(judged, stored.select("id", F.lit("").alias("reasons")))
 
 
 def start_ingest_stream(
@@ -116,38 +135,37 @@ def start_ingest_stream(
     sprints: DataFrame,
     landing: str,
     checkpoint: str,
-    remember: str = "7 days",
     files_per_batch: int | None = None,
 ) -> StreamingQuery:
     """Judge a stream of records and write them below ``landing``.
 
-    Ids are remembered for the time ``remember`` after their arrival, which
-    bounds the state. The watermark runs on the arrival time, not on the event
-    time: a violation that is reported late is still stored.
+    Each micro-batch is judged and reduced to one row per id as a batch is, so that
+    adaptive execution can split a sprint that holds most of the feed. An accepted
+    record is left out if an accepted one with its id has landed, at any time and
+    under any checkpoint; a rejected one if it was rejected for the same reasons. A
+    record that was rejected and comes again corrected is accepted.
 
     Each micro-batch replaces a folder of its own, so a batch that is run again
     after a failure leaves no duplicates. The folder also bears the id of the
     stream, which its checkpoint keeps: a stream that starts over with another
     checkpoint never replaces what is there. ``files_per_batch`` gathers small
-    batches into that many files per status instead of one per state partition.
+    batches into that many files per status instead of one per shuffle partition.
     """
-    judged = judge(feed, teams, sprints)
-    fresh = (
-        judged.withColumn("received_at", F.current_timestamp())
-        .withWatermark("received_at", remember)
-        .dropDuplicatesWithinWatermark(["id"])
-        .drop("received_at")
-    )
 
     def store(batch: DataFrame, number: int) -> None:
-        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        folder = f"{landing}/ingest_stream={stream}/ingest_batch={number}"
+        session = batch.sparkSession
+        stream = session.sparkContext.getLocalProperty("sql.streaming.queryId")
+        other = (F.col("ingest_stream") != stream) | (F.col("ingest_batch") != number)
+        judged = one_per_id(judge(batch, teams, sprints))
+        fresh = _unseen(judged, read_landing(session, landing).filter(other))
         if files_per_batch:
-            batch = batch.repartition(files_per_batch)
-        batch.write.mode("overwrite").partitionBy("status").parquet(folder)
+            fresh = fresh.repartition(files_per_batch)
+        folder = f"{landing}/ingest_stream={stream}/ingest_batch={number}"
+        static = fresh.write.mode("overwrite").option("partitionOverwriteMode", "static")
+        static.partitionBy("status").parquet(folder)
 
     return (
-        fresh.writeStream.foreachBatch(store)
+        with_id(feed).writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -155,8 +173,13 @@ def start_ingest_stream(
 
 
 def read_landing(spark: SparkSession, landing: str) -> DataFrame:
-    """All records stored by the stream, with their status."""
-    return spark.read.schema(LANDING_SCHEMA).parquet(landing)
+    """All records stored by the stream, with their status; none before it had any input."""
+    try:
+        return spark.read.schema(LANDING_SCHEMA).parquet(landing)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], LANDING_SCHEMA)
 
 
 def accepted(judged: DataFrame) -> DataFrame:
@@ -165,5 +188,6 @@ def accepted(judged: DataFrame) -> DataFrame:
 
 
 def with_landed(stored: DataFrame, landed: DataFrame) -> DataFrame:
-    """Stored violations together with the accepted ones the stream has landed."""
-    return stored.unionByName(accepted(landed))
+    """Stored violations together with the accepted ones the stream has landed, once each."""
+    fresh = accepted(landed).join(stored.select("id"), "id", "left_anti")
+    return stored.unionByName(fresh.select(*_VIOLATIONS.columns))

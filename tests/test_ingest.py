@@ -190,3 +190,33 @@ def test_the_stream_session_changes_no_other_session(spark):
     assert session.conf.get("spark.sql.shuffle.partitions") == "8"
     assert spark.conf.get("spark.sql.shuffle.partitions") == before
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_a_good_copy_beats_a_faulty_one_in_any_order(spark, small, tmp_path):
+    faulty, good = {"request_id": "r1", **GOOD, "team_id": "ghost"}, {"request_id": "r1", **GOOD}
+    for name, records in (("a", [faulty, good]), ("b", [good, faulty])):
+        write_feed(tmp_path / name / "one.json", records)
+        feed = ingest.read_feed(spark, str(tmp_path / name))
+        rows = ingest.ingest_batch(feed, small["teams"], small["sprints"]).collect()
+        assert [(row.id, row.status) for row in rows] == [(digest("r1"), "accepted")]
+
+
+def test_a_repeat_under_another_sprint_is_stored_once(spark, small, tmp_path):
+    write_feed(tmp_path / "one" / "one.json", [{"request_id": "r1", **GOOD}])
+    write_feed(tmp_path / "two" / "two.json", [{"request_id": "r1", **GOOD, "sprint_id": "s2"}])
+    one, two = (ingest.read_feed(spark, str(tmp_path / name)) for name in ("one", "two"))
+    stored = ingest.accepted(ingest.ingest_batch(one, small["teams"], small["sprints"]))
+    assert ingest.ingest_batch(two, small["teams"], small["sprints"], stored).count() == 0
+
+
+def test_the_stream_takes_a_corrected_record_once_also_under_a_new_checkpoint(spark, small, tmp_path):
+    assert ingest.read_landing(spark, str(tmp_path / "landing")).count() == 0
+    write_feed(tmp_path / "feed" / "one.json", [{"request_id": "r1", **GOOD, "team_id": "ghost"}])
+    run_stream(spark, small, tmp_path)
+    write_feed(tmp_path / "feed" / "two.json", [{"request_id": "r1", **GOOD}])
+    landed = run_stream(spark, small, tmp_path)
+    assert sorted(row.status for row in landed.collect()) == ["accepted", "rejected"]
+    (tmp_path / "checkpoint").rename(tmp_path / "lost")
+    landed = run_stream(spark, small, tmp_path)
+    assert sorted(row.status for row in landed.collect()) == ["accepted", "rejected"]
+    assert ingest.with_landed(ingest.accepted(landed), landed).count() == 1

@@ -194,9 +194,7 @@ def test_deltas_telescope(derived):
 
 def test_directions(small):
     rows = {r.sprint_id: r for r in kpis.kpi_direction(kpis.kpi_deltas(small)).collect()}
-    assert rows["s2"].compliance_delta_text == "↑ 27.7% vs prev sprint" or rows[
-        "s2"
-    ].compliance_delta_text.startswith("↑")
+    assert rows["s2"].compliance_delta_text == "↑ 41.3% vs prev sprint"
     assert rows["s2"].violations_delta_text == "↓ 3 vs prev sprint"
     assert (rows["s2"].violations_flag, rows["s1"].violations_flag) == ("positive", "negative")
     # Nothing changed: compliance shows up and good, the others down and good.
@@ -378,16 +376,16 @@ def test_text_scan(spark):
     )
     docs = spark.createDataFrame([(1, text), (2, "nothing"), (3, None)], "doc_id int, text string")
     got = {(r.doc_id, r.kind): r.hits for r in text_scan.pii_secret_scan(docs).collect()}
-    # the 40 hex digits hold two runs of sixteen
+    # digits within the secret are no card
     assert got == {
-        (1, "email"): 3, (1, "phone"): 1, (1, "ssn"): 1, (1, "credit_card"): 3, (1, "secret"): 1,
+        (1, "email"): 3, (1, "phone"): 1, (1, "ssn"): 1, (1, "credit_card"): 1, (1, "secret"): 1,
     }
 
 
 def test_text_scan_equals_python_on_whole_texts(spark):
     plain = {
         **fv.TEXT_PATTERNS,
-        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+\.[A-Za-z0-9.-]*[A-Za-z0-9-]",
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
     }
     documents = testdata.source(spark, SMALL, "documents")
     expected = {}

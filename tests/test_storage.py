@@ -168,3 +168,30 @@ def test_derivation_sizes(spark):
     assert tables["token_usage"].count() == lines.count()
     assert tables["compliance_scores"].count() == orders.count()
     assert tables["adoption_metrics"].count() == orders.count()
+
+
+def test_overwrite_is_whole_under_a_dynamic_setting(spark, small, tmp_path):
+    root, setting = str(tmp_path / "root"), "spark.sql.sources.partitionOverwriteMode"
+    alerts = small["alerts"]
+    pt.write_table(alerts, root, "alerts")
+    spark.conf.set(setting, "dynamic")
+    try:
+        pt.write_table(alerts.filter("sprint_id = 's2'"), root, "alerts", mode="overwrite")
+    finally:
+        spark.conf.unset(setting)
+    assert {r.sprint_id for r in pt.read_table(spark, root, "alerts").collect()} == {"s2"}
+
+
+def test_an_empty_partition_value_is_refused(make, tmp_path):
+    row = make("alerts", {"id": "a", "sprint_id": "", "severity": "high"})
+    with pytest.raises(Exception, match="empty sprint_id"):
+        pt.write_table(row, str(tmp_path / "root"), "alerts")
+
+
+def test_sql_names_in_any_case_and_a_callers_views(spark, small):
+    spark.range(3).createOrReplaceTempView("teams")
+    rows = pt.run_query(small, "SELECT count(*) AS n, 'alerts' AS word FROM TEAMS t").collect()
+    assert (rows[0].n, rows[0].word) == (3, "alerts")
+    assert pt.run_query(small, "SELECT teams.name FROM teams WHERE teams.id = ?", ["t1"]).count() == 1
+    assert spark.table("teams").columns == ["id"]
+    spark.catalog.dropTempView("teams")

@@ -67,6 +67,8 @@ def _near(values: np.ndarray, tables: np.ndarray, distance: int) -> tuple[np.nda
     one for each member. Every pair with a table entry is compared, in blocks."""
     labels = values.copy()
     own = np.flatnonzero(tables)
+    if not len(own):
+        return values[:0], values[:0]
     while True:
         before = labels.copy()
         for at in range(0, len(values), 512):

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stewardspark.llm.common import stored
@@ -297,10 +297,11 @@ def _key_udf():
 
 def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """(k1, k2, spans) of the texts of ``rows`` (k1, k2, data) that hold a repeated string."""
-    found = rows.select("data").mapInArrow(_find_runs(length, gram), _RUNS)
+    found = stored(rows.select("data").mapInArrow(_find_runs(length, gram), _RUNS), "all-runs")
     # Most buckets have one run, which cannot repeat: the others are few and are kept.
-    in_bucket = F.count("*").over(Window.partitionBy("bucket"))
-    found = stored(found.withColumn("n", in_bucket).filter("n > 1").drop("n"), "runs")
+    # Counted in each task first, and joined back, so that a hot bucket can be split.
+    shared = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    found = stored(found.join(shared, "bucket", "left_semi"), "runs")
     kinds = found.groupBy("bucket", "run").agg(
         F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "starts")).alias("one")
     )

@@ -196,9 +196,14 @@ def line_pairs():
 def test_banded_distance_and_segments(spark, line_pairs, edits):
     rows = [(a, b) for a, b in line_pairs if abs(len(a) - len(b)) <= edits and len(b) > 2 * edits + 1]
     x, y = F.col("x"), F.col("y")
-    met = F.arrays_overlap(line_dedup.index_keys(x, edits), line_dedup.probe_keys(y, edits)) | F.arrays_overlap(
-        line_dedup.index_keys(y, edits), line_dedup.probe_keys(x, edits)
-    )
+    def keys(line):
+        return line_dedup.segment_keys(line, F.char_length(line), edits)
+
+    def meet(line, other):
+        own = F.filter(keys(line), lambda k: k["own"])["key"]
+        return F.arrays_overlap(own, F.filter(keys(other)["key"], lambda k: k.isNotNull()))
+
+    met = meet(x, y) | meet(y, x)
     got = spark.createDataFrame(rows, "x string, y string").withColumns(
         {"d": line_dedup.banded_distance("x", "y", edits), "met": met}
     )

@@ -90,8 +90,7 @@ _PARTS = {
             ELSE concat('Lead ', CAST(n_nationkey AS VARCHAR)) END AS lead,
           CAST(NULL AS TIMESTAMP) AS created_at
         FROM nation""",
-    "sprints": _calendar("180"),
-    "sprints_in_use": _calendar(
+    "sprints": _calendar(
         """(SELECT CAST(floor(date_diff('day', DATE '1995-01-01',
            CAST(max(l_shipdate) AS DATE)) / 14) AS INT) + 1 FROM lineitem)"""
     ),
@@ -139,7 +138,7 @@ _PARTS = {
           CAST(2 + o_orderkey % 14 AS INT) AS bugs_found,
           CAST(5 + o_orderkey % 36 AS INT) AS code_smells,
           CAST(o_orderkey % 6 AS INT) AS vulnerabilities, o_orderdate AS computed_at
-        FROM ord WHERE o_orderkey % 3 = 0""",
+        FROM ord""",
     "raw_usage": f"""
         SELECT id, team_id, sprint_id, CAST(l_shipdate AS DATE) AS date, {_MODEL} AS model,
           CAST(l_quantity AS INT) * 100 AS input_tokens,
@@ -180,7 +179,7 @@ _PARTS = {
     "security_incidents": f"""
         SELECT id, team_id, sprint_id, {_pick('o_custkey % 7', *_INCIDENTS)} AS incident_type,
           CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high'
-            ELSE 'medium' END AS severity,
+            WHEN '3-MEDIUM' THEN 'medium' WHEN '5-LOW' THEN 'low' ELSE 'info' END AS severity,
           CAST(NULL AS VARCHAR) AS description, CAST(NULL AS VARCHAR) AS affected_file,
           CASE WHEN o_custkey % 7 IN (0, 5) OR o_orderkey % 101 = 0 THEN
             {_pick('o_orderkey % 6', 'email', 'phone', 'ssn', 'credit_card', 'address', 'name')}
@@ -190,7 +189,7 @@ _PARTS = {
           CASE o_orderstatus WHEN 'O' THEN 'open' WHEN 'P' THEN 'investigating'
             ELSE 'resolved' END AS status,
           CAST(NULL AS TIMESTAMP) AS resolved_at, o_orderdate AS detected_at
-        FROM ord WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')""",
+        FROM ord""",
     "lifecycle_metrics": f"""
         SELECT id, team_id, sprint_id,
           {_pick('l_partkey % 6', 'requirements', 'design', 'development', 'testing',
@@ -213,8 +212,11 @@ _PARTS = {
           concat('alert ', id) AS message, 'governance_engine' AS source,
           CASE o_orderstatus WHEN 'F' THEN 1 ELSE 0 END AS acknowledged,
           o_orderdate AS created_at
-        FROM ord WHERE o_orderkey % 5 = 0""",
-    "feed_sprints": _calendar("758"),
+        FROM ord""",
+    "feed_sprints": _calendar(
+        """(SELECT CAST(floor(date_diff('day', DATE '1995-01-01',
+           CAST(max(ts) AS DATE)) / 14) AS INT) FROM events)"""
+    ),
     "violation_feed": f"""
         SELECT CAST(event_id AS VARCHAR) AS request_id, concat_ws('-', user_id, k) AS id,
           concat('team-', CAST(user_id % CASE event_type WHEN 'view' THEN 27 ELSE 25 END
@@ -435,7 +437,7 @@ def _scoped(table: str, value: str) -> str:
 
 _BODIES = {
     "Q01_teams_list": "SELECT * FROM teams",
-    "Q02_sprints_list": "SELECT * FROM sprints_in_use",
+    "Q02_sprints_list": "SELECT * FROM sprints",
     "Q03_compliance_scores": _detail("compliance_scores"),
     "Q05_violations_recent": _detail(
         "policy_violations", tail="ORDER BY f.detected_at DESC, f.id LIMIT 50"
@@ -472,7 +474,7 @@ _BODIES = {
         SELECT sprint_id, severity, count(*) AS count FROM policy_violations GROUP BY ALL""",
     "Q19_sprint_previous": """
         SELECT s.id AS sprint_id, s.name, s.number, p.id AS previous_sprint_id
-        FROM sprints_in_use s LEFT JOIN sprints_in_use p ON p.number = s.number - 1""",
+        FROM sprints s LEFT JOIN sprints p ON p.number = s.number - 1""",
     "Q20_kpi_deltas": "SELECT * FROM deltas",
     "Q21_kpi_direction": f"""
         SELECT sprint_id,
@@ -523,7 +525,7 @@ _BODIES = {
             ELSE 4 END, id) AS position
           FROM ({_detail('alerts', 'WHERE f.acknowledged = 0')}))
         WHERE position <= 8""",
-    "Q27_latest_sprint": "SELECT * FROM sprints_in_use ORDER BY number DESC LIMIT 1",
+    "Q27_latest_sprint": "SELECT * FROM sprints ORDER BY number DESC LIMIT 1",
     "Q22_heatmap_pivot": f"""
         SELECT sprint_id, team, {_PIVOT}
         FROM (SELECT f.sprint_id, t.name AS team, f.category, avg(f.score) AS score
@@ -748,5 +750,49 @@ _BODIES = {
 }
 
 
+def _slice(name: str, where: str, without: str = "") -> str:
+    """Some rows of the whole query's SQL."""
+    columns = f"* EXCLUDE ({without})" if without else "*"
+    return f"SELECT {columns} FROM ({_BODIES[name]}) WHERE {where}"
+
+
+_SPRINT = "sprint_id = 'sprint-60'"
+_TEAM_COST = """
+    SELECT s.id AS sprint_id, coalesce(c.v, 0) AS token_cost
+    FROM sprints s LEFT JOIN (
+      SELECT f.sprint_id, {usd} AS v FROM token_usage f
+      {join} GROUP BY f.sprint_id) c ON c.sprint_id = s.id"""
+
+_BODIES |= {
+    "Q03_one_sprint_and_team": _slice(
+        "Q03_compliance_scores", f"{_SPRINT} AND team_id = 'team-3'"
+    ),
+    "Q04_one_sprint": _slice("Q04_compliance_heatmap", _SPRINT, "sprint_id"),
+    "Q04_empty_sprint_name": _BODIES["Q04_compliance_heatmap"],
+    "Q06_one_sprint_and_team": _slice(
+        "Q06_token_usage_detail", f"{_SPRINT} AND team_id = 'team-3'"
+    ),
+    "Q07_one_sprint": _slice("Q07_token_summary", _SPRINT, "sprint_id"),
+    "Q09_one_team_critical": _slice(
+        "Q09_security_incidents", "team_id = 'team-3' AND severity = 'critical'"
+    ),
+    "Q12_one_sprint_acknowledged": _slice("Q12_alerts_filtered", f"{_SPRINT} AND acknowledged = 1"),
+    "Q14_one_sprint": _slice("Q14_kpi_avg_compliance", _SPRINT, "sprint_id"),
+    "Q14_unknown_team": "SELECT CAST(0 AS DOUBLE) AS avg_compliance",
+    "Q15_one_sprint": _slice("Q15_kpi_violation_count", _SPRINT, "sprint_id"),
+    "Q16_one_sprint": _slice("Q16_kpi_token_cost", _SPRINT, "sprint_id"),
+    "Q17_one_sprint": _slice("Q17_kpi_adoption_rate", _SPRINT, "sprint_id"),
+    "Q18_one_sprint": _slice("Q18_kpi_incident_count", _SPRINT, "sprint_id"),
+    "Q20_one_sprint": _slice("Q20_kpi_deltas", _SPRINT),
+    "Q20_first_sprint": _slice("Q20_kpi_deltas", "sprint_id = 'sprint-1'"),
+    "Q24_one_sprint": _slice("Q24_violations_by_severity", _SPRINT, "sprint_id"),
+    "Q26_one_sprint": _slice("Q26_active_alerts", _SPRINT),
+    "Q28_one_team": _TEAM_COST.format(
+        usd=_usd("f.cost_usd"), join="JOIN teams t ON f.team_id = t.id AND t.name = 'NATION_3'"
+    ),
+    "Q28_all_teams": _TEAM_COST.format(usd=_usd("f.cost_usd"), join=""),
+}
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: _with(body) for name, body in _BODIES.items()}

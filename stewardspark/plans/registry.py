@@ -72,19 +72,13 @@ def _counted(df: DataFrame, **columns) -> DataFrame:
     return results.groupBy(*columns).agg(F.count("*").alias("n"))
 
 
-def _sprints_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All sprints up to the last shipment."""
-    days = testdata.source(spark, sf_dir, "lineitem").select("l_shipdate")
-    return calendar.sprint_calendar_of(days, testdata.BASE_DATE)
-
-
 # Detail reads
 
 _QUERIES["Q01_teams_list"] = lambda spark, sf_dir: reads.teams_list(
     testdata.derive_tables(spark, sf_dir)["teams"]
 )
 _QUERIES["Q02_sprints_list"] = lambda spark, sf_dir: reads.sprints_list(
-    _sprints_in_use(spark, sf_dir)
+    testdata.sprints_in_use(spark, sf_dir)
 )
 _on_tables(
     "Q03_compliance_scores",
@@ -154,7 +148,7 @@ _on_tables(
 # Comparison with the previous sprint, bands, scopes
 
 _QUERIES["Q19_sprint_previous"] = lambda spark, sf_dir: kpis.sprint_previous(
-    _sprints_in_use(spark, sf_dir)
+    testdata.sprints_in_use(spark, sf_dir)
 )
 _on_tables("Q20_kpi_deltas", kpis.kpi_deltas)
 _on_tables("Q21_kpi_direction", lambda t: kpis.kpi_direction(kpis.kpi_deltas(t)))
@@ -167,7 +161,7 @@ _on_tables(
     "Q26_active_alerts", lambda t: selection.active_alerts(t["alerts"], t["teams"])
 )
 _QUERIES["Q27_latest_sprint"] = lambda spark, sf_dir: selection.latest_sprint(
-    _sprints_in_use(spark, sf_dir)
+    testdata.sprints_in_use(spark, sf_dir)
 )
 _on_tables(
     "Q22_heatmap_pivot",
@@ -300,7 +294,7 @@ _on_tables("M05_line_split", _line_split)
 @_register("M06_sprint_calendar")
 def _sprint_calendar(spark, sf_dir):
     """Every sprint with the line items shipped in it."""
-    sprints = calendar.sprint_calendar(spark, testdata.BASE_DATE, testdata.PERIODS)
+    sprints = testdata.sprints_in_use(spark, sf_dir)
     shipped = testdata.source(spark, sf_dir, "lineitem").select(
         testdata.sprint_of(F.col("l_shipdate")).alias("id")
     )
@@ -451,7 +445,7 @@ def _ingest_violations(spark, sf_dir):
     events = testdata.source(spark, sf_dir, "events")
     feed = testdata.violation_feed(spark, events)
     teams = testdata.derive_tables(spark, sf_dir)["teams"]
-    judged = ingest.ingest_batch(feed, teams, testdata.feed_calendar(spark))
+    judged = ingest.ingest_batch(feed, teams, testdata.feed_calendar(spark, sf_dir))
     return judged.select(*_INGESTED)
 
 
@@ -462,7 +456,7 @@ def _ingest_stream(spark, sf_dir):
     feed = testdata.violation_feed(session, testdata.event_stream(session, sf_dir))
     teams = testdata.derive_tables(session, sf_dir)["teams"]
     query = ingest.start_ingest_stream(
-        feed, teams, testdata.feed_calendar(session), landing, checkpoint
+        feed, teams, testdata.feed_calendar(session, sf_dir), landing, checkpoint
     )
     query.awaitTermination()
     return ingest.read_landing(spark, landing).select(*_INGESTED)
@@ -531,5 +525,63 @@ _on_tables(
 )
 
 
+# One sprint, team or kind alone, as a page asks for it
+
+CHOSEN_SPRINT, CHOSEN_TEAM, CHOSEN_TEAM_ID = "sprint-60", "NATION_3", "team-3"
+
+_on_tables(
+    "Q03_one_sprint_and_team",
+    lambda t: reads.compliance_scores(
+        t["compliance_scores"], t["teams"], CHOSEN_SPRINT, CHOSEN_TEAM_ID
+    ),
+)
+_on_tables(
+    "Q04_one_sprint",
+    lambda t: aggregates.compliance_heatmap(t["compliance_scores"], t["teams"], CHOSEN_SPRINT),
+)
+_on_tables(
+    "Q04_empty_sprint_name",
+    lambda t: aggregates.compliance_heatmap(t["compliance_scores"], t["teams"], ""),
+)
+_on_tables(
+    "Q06_one_sprint_and_team",
+    lambda t: reads.token_usage_detail(
+        t["token_usage"], t["teams"], CHOSEN_SPRINT, CHOSEN_TEAM_ID
+    ),
+)
+_on_tables(
+    "Q07_one_sprint",
+    lambda t: aggregates.token_summary(t["token_usage"], t["teams"], CHOSEN_SPRINT),
+)
+_on_tables(
+    "Q09_one_team_critical",
+    lambda t: reads.security_incidents(
+        t["security_incidents"], t["teams"], team_id=CHOSEN_TEAM_ID, severity="critical"
+    ),
+)
+_on_tables(
+    "Q12_one_sprint_acknowledged",
+    lambda t: reads.alerts_filtered(t["alerts"], t["teams"], CHOSEN_SPRINT, True),
+)
+_on_tables("Q14_one_sprint", lambda t: kpis.avg_compliance(t, CHOSEN_SPRINT))
+_on_tables("Q14_unknown_team", lambda t: kpis.avg_compliance(t, CHOSEN_SPRINT, "NOBODY"))
+_on_tables("Q15_one_sprint", lambda t: kpis.violation_count(t, CHOSEN_SPRINT))
+_on_tables("Q16_one_sprint", lambda t: kpis.token_cost(t, CHOSEN_SPRINT))
+_on_tables("Q17_one_sprint", lambda t: kpis.adoption_rate(t, CHOSEN_SPRINT))
+_on_tables("Q18_one_sprint", lambda t: kpis.incident_count(t, CHOSEN_SPRINT))
+_on_tables("Q20_one_sprint", lambda t: kpis.kpi_deltas(t, sprint_id=CHOSEN_SPRINT))
+_on_tables("Q20_first_sprint", lambda t: kpis.kpi_deltas(t, sprint_id="sprint-1"))
+_on_tables(
+    "Q24_one_sprint",
+    lambda t: aggregates.violations_by_severity(t["policy_violations"], CHOSEN_SPRINT),
+)
+_on_tables(
+    "Q26_one_sprint",
+    lambda t: selection.active_alerts(t["alerts"], t["teams"], CHOSEN_SPRINT),
+)
+_on_tables("Q28_one_team", lambda t: kpis.token_cost(t, team=CHOSEN_TEAM))
+_on_tables("Q28_all_teams", lambda t: kpis.token_cost(t, team="All Teams"))
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)

@@ -17,9 +17,6 @@ from stewardspark.sources.parquet_tables import apply_defaults
 from stewardspark.tables import Tables
 
 BASE_DATE = "1995-01-01"
-PERIODS = 180
-# The feed's events lie in sprints 757 to 759; the last one is left unknown.
-FEED_PERIODS = 758
 
 SOURCES = {
     "nation": "n_nationkey int, n_name string, n_regionkey int",
@@ -92,6 +89,12 @@ def _orders(spark, sf_dir):
     )
 
 
+def sprints_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All sprints up to the last shipment, which no order is dated after."""
+    days = source(spark, sf_dir, "lineitem").select("l_shipdate")
+    return calendar.sprint_calendar_of(days, BASE_DATE)
+
+
 def _policies(spark):
     return policy_dim(spark).selectExpr(
         "idx", "id AS policy_id", "name AS policy_name", "category", "severity"
@@ -133,7 +136,7 @@ def _compliance_scores(spark, sf_dir):
 
 
 def _code_quality_metrics(spark, sf_dir):
-    return _orders(spark, sf_dir).filter("o_orderkey % 3 = 0").selectExpr(
+    return _orders(spark, sf_dir).selectExpr(
         "id", "team_id", "sprint_id",
         "CAST(60 + o_orderkey % 41 AS DOUBLE) AS sonarqube_score",
         "CAST(4 + o_custkey % 16 AS DOUBLE) AS complexity_avg",
@@ -208,14 +211,11 @@ def _security_incidents(spark, sf_dir):
     detected_by = _pick(
         "o_orderkey % 5", "gitleaks", "bandit", "semgrep", "custom_scanner", "manual_review"
     )
-    urgent = _orders(spark, sf_dir).filter(
-        "o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')"
-    )
-    return urgent.selectExpr(
+    return _orders(spark, sf_dir).selectExpr(
         "id", "team_id", "sprint_id",
         f"{incident_type} AS incident_type",
         """CASE o_orderpriority WHEN '1-URGENT' THEN 'critical' WHEN '2-HIGH' THEN 'high'
-           ELSE 'medium' END AS severity""",
+           WHEN '3-MEDIUM' THEN 'medium' WHEN '5-LOW' THEN 'low' ELSE 'info' END AS severity""",
         f"""CASE WHEN o_custkey % 7 IN (0, 5) OR o_orderkey % 101 = 0
            THEN {pii_type} END AS pii_type""",
         f"{detected_by} AS detected_by",
@@ -252,7 +252,7 @@ def _alerts(spark, sf_dir):
         "title": ["Token budget threshold reached", "Compliance score dropped",
                   "New security incident", "Quality gate failure", "Adoption milestone"],
     }
-    return _orders(spark, sf_dir).filter("o_orderkey % 5 = 0").selectExpr(
+    return _orders(spark, sf_dir).selectExpr(
         "id",
         "CASE WHEN o_orderkey % 97 = 0 THEN NULL ELSE team_id END AS team_id",
         "sprint_id",
@@ -266,7 +266,7 @@ def _alerts(spark, sf_dir):
 
 _DERIVED = {
     "teams": _teams,
-    "sprints": lambda spark, sf_dir: calendar.sprint_calendar(spark, BASE_DATE, PERIODS),
+    "sprints": lambda spark, sf_dir: sprints_in_use(spark, sf_dir),
     "policy_violations": _policy_violations,
     "compliance_scores": _compliance_scores,
     "code_quality_metrics": _code_quality_metrics,
@@ -287,8 +287,10 @@ def derive_tables(spark: SparkSession, sf_dir: str) -> Tables:
     )
 
 
-def feed_calendar(spark: SparkSession) -> DataFrame:
-    return calendar.sprint_calendar(spark, BASE_DATE, FEED_PERIODS)
+def feed_calendar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sprints of the feed but its last, which is left unknown."""
+    days = source(spark, sf_dir, "events").select(F.expr("ts - INTERVAL 14 DAYS").alias("day"))
+    return calendar.sprint_calendar_of(days, BASE_DATE)
 
 
 def violation_feed(spark: SparkSession, events: DataFrame) -> DataFrame:

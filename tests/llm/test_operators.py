@@ -230,6 +230,67 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(got.select("doc_id", F.lit("a").alias("text")).filter("false")).collect() == []
 
 
+def within(a, b, most):
+    """plain_distance(a, b) <= most, given up at the first row beyond."""
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        now = [i]
+        for j, y in enumerate(b, 1):
+            now.append(min(last[j] + 1, now[-1] + 1, last[j - 1] + (x != y)))
+        if min(now) > most:
+            return False
+        last = now
+    return last[-1] <= most
+
+
+def edited(rng, line, edits):
+    out = list(line)
+    for _ in range(edits):
+        i = rng.randrange(len(out))
+        out[i : i + rng.randint(0, 1)] = rng.choice(["", "q", "é", "x"])
+    return "".join(out)
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(12)
+    lines = []
+    for n in (2, 4, 6, 7, 9, 14, 23, 30, 46, 50, 63, 70, 95, 130, 170, 250, 330, 345, 400, 700):
+        for _ in range(2):
+            line = "".join(rng.choice("abcdefgh ijklmnop") for _ in range(n)).strip() or "a"
+            most = max(2, n // 16)
+            lines += [line, *[edited(rng, line, rng.choice([1, most - 1, most, most + 1, most + 2])) for _ in range(4)]]
+            at = rng.randrange(n)
+            lines.append(line[:at] + "z" * most + line[at:])
+            lines.append(line[: max(0, at - most)] + line[at:] + "y")
+    lines = [x.strip(" ") for x in lines]
+    rng.shuffle(lines)
+    texts = ["\n".join(lines[i : i + 3]) for i in range(0, len(lines), 3)]
+    flat = [x for t in texts for x in t.split("\n")]
+    alike = {}
+
+    def near(a, b):
+        if a == b or not a or not b:
+            return a == b and a != ""
+        most = max(2, max(len(a), len(b)) // 16)
+        if min(len(a), len(b)) < 6 or abs(len(a) - len(b)) > most:
+            return False
+        pair = (min(a, b), max(a, b))
+        if pair not in alike:
+            alike[pair] = within(a, b, most)
+        return alike[pair]
+
+    label = groups_of(flat, lambda a, b: a == b or near(a, b))
+    want, at = {}, 0
+    for i, t in enumerate(texts):
+        n = len(t.split("\n"))
+        want[i] = [j for j in range(n) if flat[at + j] and label[at + j] != at + j]
+        at += n
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["removed"] for r in line_dedup.dedup_lines(docs).collect()}
+    assert sum(map(len, want.values())) > 100
+    assert got == want
+
+
 def plain_simhash(text, k):
     lower = (text or "").translate({c: c + 32 for c in range(65, 91)})
     parts = [w for w in __import__("re").split(r"[\x20\x09-\x0D]+", lower) if w]

@@ -9,7 +9,7 @@ from stewardspark.llm.common import stored
 
 SHINGLE = 5
 SIMILARITY = 0.8
-BLOCKS = 8
+BLOCKS = 16
 ITEM_SHINGLES_AT_ONCE = 1 << 20
 
 _ONES = """aggregate(sequence(0, 63), 0L, (bits, b) -> bits | CASE WHEN 2 * aggregate({hashes}, 0,

@@ -356,6 +356,56 @@ def test_decontamination(spark):
     assert decontamination.contamination(docs.filter("false"), bench).collect() == []
 
 
+def plain_leaks(texts, items):
+    """{(text number, item number): best similarity} over all windows as long as the item."""
+    out = {}
+    for j, item in enumerate(items):
+        item = item.lower().split()
+        k = min(5, len(item))
+        theirs = Counter(tuple(item[i : i + k]) for i in range(len(item) - k + 1))
+        for t, text in enumerate(texts):
+            text = text.lower().split()
+            if len(text) < k:
+                continue
+            if not theirs.keys() & {tuple(text[i : i + k]) for i in range(len(text) - k + 1)}:
+                continue
+            for first in range(max(1, len(text) - len(item) + 1)):
+                window = text[first : first + len(item)]
+                mine = Counter(tuple(window[i : i + k]) for i in range(len(window) - k + 1))
+                inner = (mine & theirs).total()
+                alike = inner / (mine.total() + theirs.total() - inner)
+                if alike >= 0.8:
+                    out[t, j] = max(alike, out.get((t, j), 0))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    rng = random.Random(21)
+    items, texts = [], []
+    for i in range(360):
+        n = (13, 49, 49, 94)[i % 4]
+        item = words(rng, n, 5000).split()
+        items.append(" ".join(item))
+        near = list(item)
+        # One changed word takes 5 shingles inside, one at the end; 0.8 is at n / 9 of them.
+        if n == 13:
+            near[-1] = "changed"
+        else:
+            for at in range(20, 20 + (2 if n == 94 else 1) * 20, 20):
+                near[at] = "changed"
+        if i % 10 == 9:
+            near[0] = "other"
+        texts.append(f"{words(rng, rng.randint(0, 20), 5000)} {' '.join(near)} {words(rng, rng.randint(0, 20), 5000)}")
+    want = plain_leaks(texts, items)
+    assert sum(0.8 <= s <= 0.85 for s in want.values()) > 250
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontamination.contamination(docs, bench).collect()}
+    assert got == pytest.approx(want)
+    clean = {r["doc_id"] for r in decontamination.decontaminated(docs, bench).collect()}
+    assert clean == set(range(len(texts))) - {t for t, _ in want}
+
+
 def test_sainte_lague_equals_quotients(spark):
     rng = random.Random(8)
     for claims, seats in (([340, 280, 160, 60], 15), ([5, 5, 5], 7), ([1000] + [1] * 30, 20), ([rng.randint(1, 99) for _ in range(40)], 33)):

@@ -127,12 +127,26 @@ def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 
 def _least_ids(ids: np.ndarray, whole: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of equal vectors only the rows with the ``keep`` smallest ids: no other can be in a result."""
+    """Of equal vectors only the rows that can be among the ``keep`` best of a query.
+
+    Ids may repeat, and a query gets no row with its own id: of each id ``keep`` rows
+    can be in a result, and among the first ``2 * keep`` of those rows ``keep`` at most
+    bear the query's id.
+    """
     _, kind = np.unique(whole, axis=0, return_inverse=True)
     order = np.lexsort((ids, kind.ravel()))
-    sorted_kind = kind.ravel()[order]
-    first = np.searchsorted(sorted_kind, sorted_kind)
-    order = order[np.arange(len(order)) - first < keep]
+
+    def first_of(*columns: np.ndarray) -> np.ndarray:
+        new = np.zeros(len(order), bool)
+        new[:1] = True
+        for column in columns:
+            new[1:] |= column[1:] != column[:-1]
+        return np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
+
+    kinds = kind.ravel()[order]
+    order = order[np.arange(len(order)) - first_of(kinds, ids[order]) < keep]
+    kinds = kind.ravel()[order]
+    order = order[np.arange(len(order)) - first_of(kinds) < 2 * keep]
     return ids[order], whole[order]
 
 
@@ -145,7 +159,7 @@ def build_index(vectors: DataFrame, k: int, tree_rows: int = TREE_ROWS) -> DataF
         def planted(length: int) -> pa.RecordBatch:
             parts = waiting.pop(length)
             ids, whole = _least_ids(
-                np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), k + 1
+                np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), k
             )
             if whole.size and np.abs(whole).max() < 2**31:
                 whole = whole.astype(np.int32)

@@ -561,6 +561,28 @@ def test_top_k(spark):
     assert top_k.top_k(table.filter("false"), table.filter("false")).collect() == []
 
 
+@pytest.mark.parametrize("own, others", [(0, range(1, 30)), (5, range(30)), (40, range(30))])
+def test_top_k_with_a_query_row_repeated(spark, own, others):
+    vector = [0.5, 0.25, -0.125]
+    ids = [own] * 25 + [i for i in others if i != own] + [3] * 4
+    table = spark.createDataFrame([(i, vector) for i in ids], "vec_id long, embedding array<double>").coalesce(1)
+    got = top_k.top_k(table, table.filter(F.col("vec_id") == own), 10)
+    want = sorted(i for i in ids if i != own)[:10]
+    assert [r["vec_id"] for r in got.orderBy("rank").collect()] == want
+
+
+def test_least_ids_keep_all_that_a_query_can_get():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        ids = np.sort(rng.integers(0, rng.integers(1, 12), 30))
+        whole = rng.integers(0, 2, (30, 1))
+        kept, vectors = top_k._least_ids(ids, whole, 4)
+        for query in range(-1, 12):
+            for v in (0, 1):
+                want = sorted(ids[(whole[:, 0] == v) & (ids != query)])[:4]
+                assert sorted(kept[(vectors[:, 0] == v) & (kept != query)])[:4] == want
+
+
 def test_ranked(spark):
     rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(9)
     assert all(r["v"] == r["rank"] for r in ranked(rows, F.col("v")).collect())

@@ -1,7 +1,9 @@
 """The queries of the operators and, where SQL can say the same, their SQL."""
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,7 @@ from stewardspark.llm import (
     line_dedup,
     mixing,
     near_dup,
+    periodic_runs,
     repeats,
     token_counts,
     token_files,
@@ -79,6 +82,24 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
 
 
+def periodic_words(doc_id, n: int) -> np.ndarray | None:
+    """For about a tenth of the ids, numbers that repeat the words from some place on."""
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 or not n:
+        return None
+    g = h // 10
+    first = g % n
+    period = 1 + (n - first) // (3 + g % 8)
+    order = np.arange(n)
+    order[first:] = first + (order[first:] - first) % period
+    return order
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, _ = periodic_runs.periodic_runs(table(spark, sf_dir, "documents"), plan=periodic_words)
+    return rows.drop("collapsed")
+
+
 QUERIES: dict[str, Query] = {
     "op1_token_files": op1_token_files,
     "op2_token_counts": op2_token_counts,
@@ -90,6 +111,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_exact_top_k": op10_exact_top_k,
+    "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
 

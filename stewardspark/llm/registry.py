@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from stewardspark.llm import (
     decontamination,
+    lexical_search,
     line_dedup,
     mixing,
     near_dup,
@@ -82,6 +83,12 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked_documents(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50
+    )
+
+
 def periodic_words(doc_id, n: int) -> np.ndarray | None:
     """For about a tenth of the ids, numbers that repeat the words from some place on."""
     h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
@@ -111,6 +118,7 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_ranked_search": op11_ranked_search,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }
@@ -149,4 +157,36 @@ s AS (
 r AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
+    "op11_ranked_search": r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS doc, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents),
+items AS (
+  SELECT row_number() OVER () AS item, item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM benchmark),
+asked AS (SELECT DISTINCT item, item_id, unnest(terms) AS term FROM items),
+totals AS (
+  SELECT count(*) AS n_docs, CAST(sum(len(terms)) AS BIGINT) AS n_terms FROM docs WHERE len(terms) > 0),
+counted AS (
+  SELECT doc, doc_id, term, len_terms, count(*) AS tf
+  FROM (SELECT doc, doc_id, len(terms) AS len_terms, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked)
+  GROUP BY doc, doc_id, term, len_terms),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w
+  FROM counted, totals GROUP BY term, n_docs),
+scored AS (
+  SELECT item, any_value(item_id) AS item_id, doc, any_value(doc_id) AS doc_id,
+         CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * len_terms * n_docs) // n_terms))))
+              AS BIGINT) AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term), totals
+  GROUP BY item, doc),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS place
+  FROM scored WHERE score > 0)
+SELECT item_id, CAST(place AS INTEGER) AS rank, doc_id, score FROM placed WHERE place <= 50""",
 }

@@ -1,0 +1,107 @@
+"""Ranked search against brute force, and the sums that items share."""
+
+import math
+import random
+import re
+from collections import Counter
+
+from stewardspark.llm import lexical_search
+
+_TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(text):
+    return _TERM.findall(re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+
+
+def brute(docs, items, k):
+    split = [(i, Counter(terms(t))) for i, t in docs]
+    n = sum(bool(c) for _, c in split)
+    total = sum(c.total() for _, c in split)
+    df = Counter(w for _, c in split for w in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for i, c in split:
+            score = sum(
+                math.floor(1000 * math.log((2 * n + 2) / (2 * df[w] + 1)))
+                * ((10**9 * c[w]) // (1000 * c[w] + 20 * (50 + 50 * c.total() * n // total)))
+                for w in set(terms(text)) & c.keys()
+            )
+            if score > 0:
+                scored.append((-score, i is None, i))
+        scored.sort(key=lambda e: e[:2] if e[1] else e)
+        out += [(item, rank, i, -s) for rank, (s, _, i) in enumerate(scored[:k], start=1)]
+    return out
+
+
+def by_rank(rows):
+    return sorted(map(tuple, rows), key=repr)
+
+
+def corpus(seed, docs=300, items=25):
+    rnd = random.Random(seed)
+    words = [rnd.choice(["", "É", "x9"]) + "".join(rnd.choices("abAßé1", k=rnd.randint(1, 3))) for _ in range(120)]
+
+    def text(least, most):
+        return rnd.choice([" ", "-", "\n\x00"]).join(rnd.choices(words, k=rnd.randint(least, most)))
+
+    rows = [(rnd.randint(0, 200), text(0, 60)) for _ in range(docs)]
+    rows += [(i, "Copy of copy x9a b") for i in range(500, 580)] + [(None, "copy b"), (3, None), (4, ""), (5, "-- ..")]
+    phrase = text(6, 6)
+    asked = [(i, phrase + " " + text(1, 12)) for i in range(items)]
+    asked += [(1, asked[0][1]), (7, None), (8, ""), (9, "copy x9A"), (None, "b"), (10, "nowhere1")]
+    return rows, asked
+
+
+def frames(spark, rows, items):
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(
+        items, "item_id long, text string"
+    )
+
+
+def test_ranks_equal_brute_force(spark):
+    rows, items = corpus(11)
+    got = lexical_search.ranked_documents(*frames(spark, rows, items), k=20)
+    assert got.columns == ["item_id", "rank", "doc_id", "score"]
+    assert by_rank(got.collect()) == by_rank(brute(rows, items, 20))
+
+
+def test_many_blocks_and_small_tasks_give_the_same(spark, monkeypatch):
+    rows, items = corpus(12, docs=120, items=12)
+    monkeypatch.setattr(lexical_search, "BLOCK_TERMS", 60)
+    got = lexical_search.ranked_documents(*frames(spark, rows, items), k=3)
+    assert by_rank(got.collect()) == by_rank(brute(rows, items, 3))
+
+
+def test_each_shared_set_stands_once():
+    rnd = random.Random(3)
+    for _ in range(200):
+        base = [set(rnd.sample(range(40), rnd.randint(1, 9))) for _ in range(4)]
+        items = [
+            sorted(set().union(*rnd.sample(base, 2), rnd.sample(range(40), 2))) for _ in range(rnd.randint(1, 8))
+        ]
+        items.append(items[0])
+        nodes, parts = lexical_search.sharing_graph(items, 40)
+        whole = {i: Counter([i]) for i in range(40)}
+        for number, own in enumerate(nodes, start=40):
+            assert all(p < number for p in own)
+            whole[number] = sum((whole[p] for p in own), Counter())
+        for item, own in zip(items, parts, strict=True):
+            assert sum((whole[p] for p in own), Counter()) == Counter(item)
+        assert parts[-1] == parts[0]
+        pairs = Counter(
+            (a, b) for own in {tuple(p) for p in parts} for a in own for b in own if a < b
+        )
+        assert all(n < 2 for n in pairs.values())
+        adds = sum(len(own) - 1 for own in [*nodes, *{tuple(p) for p in parts}])
+        assert adds <= sum(len(item) - 1 for item in {tuple(i) for i in items})
+
+
+def test_empty_tables_and_other_columns(spark):
+    docs = spark.createDataFrame([("k", "Some words", 5, "x")], "doc_id string, text string, score long, item string")
+    items = spark.createDataFrame([("q", "words words", 1)], "item_id string, text string, rank int")
+    got = lexical_search.ranked_documents(docs, items)
+    assert [tuple(r)[:3] for r in got.collect()] == [("q", 1, "k")]
+    for a, b in ((docs.limit(0), items), (docs, items.limit(0)), (docs.limit(0), items.limit(0))):
+        assert lexical_search.ranked_documents(a, b).count() == 0

@@ -15,6 +15,7 @@ from stewardspark.llm import (
     mixing,
     near_dup,
     periodic_runs,
+    personal_data,
     repeats,
     token_counts,
     token_files,
@@ -89,6 +90,21 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = personal_data.personal_data(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def number(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    sha = F.sha2(listed(base), 256).alias("base_sha256")
+    counts = [number(kind) for kind in ("email", "ip", "card", "phone")]
+    return rows.select("doc_id", *counts, sha, listed(F.col("spans")).alias("spans"))
+
+
 def periodic_words(doc_id, n: int) -> np.ndarray | None:
     """For about a tenth of the ids, numbers that repeat the words from some place on."""
     h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
@@ -119,6 +135,7 @@ QUERIES: dict[str, Query] = {
     "op9_suffix_array_dedup": op9_suffix_array_dedup,
     "op10_exact_top_k": op10_exact_top_k,
     "op11_ranked_search": op11_ranked_search,
+    "op12_pii": op12_pii,
     "op13_periodic_runs": op13_periodic_runs,
     "pipeline": corpus_pipeline.run,
 }

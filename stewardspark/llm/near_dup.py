@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stewardspark.llm.common import components, stored
@@ -46,20 +46,16 @@ def simhash(text: str | None, shingle: int) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int) -> DataFrame:
-    """(id, fingerprint as a signed long, kept) of each row of ``docs`` (id, text, kept)."""
-    kind = docs.schema["id"].dataType.simpleString()
+def fingerprint(text: Column, shingle: int) -> Column:
+    """The SimHash of whole texts as a signed long. Only the texts go to Python."""
 
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("long")
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            values = np.array([simhash(t, shingle) for t in batch.column(1).to_pylist()], np.uint64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(values.view(np.int64)), batch.column(2)],
-                names=["id", "fingerprint", "kept"],
-            )
+            values = np.array([simhash(t.as_py(), shingle) for t in batch], np.uint64)
+            yield pa.array(values.view(np.int64))
 
-    whole = docs.schema["kept"].dataType.simpleString()
-    return docs.select("id", "text", "kept").mapInArrow(hashed, f"id {kind}, fingerprint long, kept {whole}")
+    return hashed(text)
 
 
 def _near(values: np.ndarray, tables: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -170,9 +166,10 @@ def _classes(
     docs: DataFrame, shingle: int, distance: int, keep: Sequence[str], id_column: str, text_column: str
 ) -> tuple[DataFrame, DataFrame]:
     """Rows (row, id, fingerprint, kept) and classes (value, component, component_id)."""
-    kept = F.struct(*[docs[c] for c in keep] or [F.lit(0).alias("none")]).alias("kept")
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), kept)
-    marked = fingerprints(rows, shingle).withColumn("row", F.monotonically_increasing_id())
+    rows = docs.select(F.col(id_column).alias("id"), F.struct("*").alias("whole"))
+    kept = F.struct(*[F.col("whole")[c].alias(c) for c in keep] or [F.lit(0).alias("none")])
+    rows = rows.withColumn("fingerprint", fingerprint(F.col("whole")[text_column], shingle))
+    marked = rows.select("id", "fingerprint", kept.alias("kept"), F.monotonically_increasing_id().alias("row"))
     marked = stored(marked, "fingerprints")
     values = marked.groupBy(F.col("fingerprint").alias("value")).agg(F.min("id").alias("least"))
     values = stored(values, "values")

@@ -37,6 +37,7 @@ def token_counts(
                 ],
                 names=[id_column, "n_bytes", "n_tokens", "over_limit"],
             )
+        encode.forget()
 
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"{id_column} {kind}, n_bytes long, n_tokens long, over_limit boolean"

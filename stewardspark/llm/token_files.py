@@ -81,6 +81,7 @@ def write_token_files(
                     if not len(ids):
                         break
                 ordinal += 1
+        encode.forget()
         if parts:
             yield group()
 

@@ -22,8 +22,11 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _WORDS = re.compile(f"( [{_LETTERS}]+(?![A-Za-z\x80-\U0010ffff]))")
 
 BATCH_BYTES = 256 << 10
-REMEMBERED = 400_000
+#: About so many bytes of pieces and ids are remembered, in a task.
+REMEMBERED = 48 << 20
 LONG = 48
+#: Bytes that a remembered piece takes beside its characters and ids, roughly.
+_ENTRY = 180
 
 
 def _byte_letters() -> list[str]:
@@ -36,11 +39,13 @@ def _byte_letters() -> list[str]:
 class Encoder:
     """Ids, or with ``lengths`` only their number, of texts.
 
-    Memory: the pieces of one group of texts and ``REMEMBERED`` short pieces.
+    Memory: the pieces of one group of texts, and ``REMEMBERED`` bytes of short pieces
+    until ``forget`` is called, at the end of a task.
     """
 
     def __init__(self, path: str, lengths: bool = False):
         self.known: dict = {}
+        self.held = 0
         self.keep = len if lengths else tuple
         self.special = self.model = None
         if path.endswith(".model"):
@@ -80,7 +85,7 @@ class Encoder:
         batch, size = [], 0
         for text in texts:
             batch.append(text)
-            size += len(text)
+            size += len(text) if text.isascii() else len(text.encode())
             if size >= BATCH_BYTES:
                 yield from self.encode(batch)
                 batch, size = [], 0
@@ -107,12 +112,18 @@ class Encoder:
         found = dict(zip(rest, map(self.keep, self.batched(rest)), strict=True))
         found.update((word, self._word(word)) for word in words)
         short = {p: ids for p, ids in found.items() if len(p) <= LONG}
-        if len(known) + len(short) <= REMEMBERED:
+        size = sum(_ENTRY + len(p) + (0 if self.keep is len else 8 * len(ids)) for p, ids in short.items())
+        if self.held + size <= REMEMBERED:
+            self.held += size
             known.update(short)
             if len(short) == len(found):
                 return known
         return {p: known[p] for p in wanted.difference(found)} | found
 
+    def forget(self) -> None:
+        """Give back what is remembered: a worker lives on after its task."""
+        self.known, self.held = {}, 0
+
     def _grouped(self, texts: Iterable[str]) -> Iterator[tuple[dict, list[str]]]:
         """The pieces of each text, with a dict that has them; learnt for many texts at once."""
         group, size = [], 0

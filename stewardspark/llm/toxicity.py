@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stewardspark.llm.common import stored
@@ -36,7 +36,7 @@ def word_counts(rows: DataFrame) -> np.ndarray:
     """How many texts of ``rows`` (label, text) have a word of each bucket, by label.
 
     A word counts once for a text, so that a long text that repeats one does not
-    count for many, and equal texts count once. Summed in each task first; at most
+    count for many, and equal texts count once, as 1 if any of them is labelled so. Summed in each task first; at most
     two numbers for each bucket reach the driver.
     """
 
@@ -57,7 +57,8 @@ def word_counts(rows: DataFrame) -> np.ndarray:
             names=["label", "bucket", "n"],
         )
 
-    counted = rows.dropDuplicates(["text"]).mapInArrow(count, "label int, bucket int, n long")
+    once = rows.groupBy("text").agg(F.max("label").alias("label")).select("label", "text")
+    counted = once.mapInArrow(count, "label int, bucket int, n long")
     summed = counted.groupBy("label", "bucket").agg(F.sum("n").alias("n")).toArrow()
     totals = np.zeros((2, BUCKETS), np.int64)
     totals[summed["label"].to_numpy(), summed["bucket"].to_numpy()] = summed["n"].to_numpy()
@@ -152,14 +153,18 @@ def passages(text: str | None, score_of, rate: float, k: float) -> tuple[float,
 
 
 _PASSAGES = "array<struct<first:int,last:int,score:double,evidence:double>>"
+_PASSAGE_TYPES = [("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("evidence", pa.float64())]
 
 
-def evidence(docs: DataFrame, scores: np.ndarray, rate: float, k: float) -> DataFrame:
-    """(id, evidence, passages, kept) of each row of ``docs`` (id, text, kept); texts are read whole."""
+def evidence(docs: DataFrame, text: Column, scores: np.ndarray, rate: float, k: float) -> DataFrame:
+    """``docs`` with ``judged`` (evidence, passages) of the whole of ``text``.
+
+    Only the texts go to Python, and only what was found comes back.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(scores.astype(np.float32))
-    kind = docs.schema["id"].dataType.simpleString()
 
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(f"evidence double, passages {_PASSAGES}")
+    def judge(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         table, known = sent.value, {}
 
         def score_of(words: list[str]) -> np.ndarray:
@@ -169,23 +174,19 @@ def evidence(docs: DataFrame, scores: np.ndarray, rate: float, k: float) -> Data
                 known[word] = float(table[bucket(word)])
             return np.fromiter(map(known.__getitem__, words), np.float64, len(words))
 
+        names = [name for name, _ in _PASSAGE_TYPES]
         for batch in batches:
-            judged = [passages(text, score_of, rate, k) for text in batch.column(1).to_pylist()]
-            listed = [
-                [dict(zip(("first", "last", "score", "evidence"), p, strict=True)) for p in found]
-                for _, found in judged
-            ]
-            struct = pa.list_(
-                pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("evidence", pa.float64())])
-            )
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([e for e, _ in judged], pa.float64()), pa.array(listed, struct), batch.column(2)],
-                names=["id", "evidence", "passages", "kept"],
+            judged = [passages(text.as_py(), score_of, rate, k) for text in batch]
+            listed = [[dict(zip(names, p, strict=True)) for p in found] for _, found in judged]
+            yield pa.StructArray.from_arrays(
+                [
+                    pa.array([e for e, _ in judged], pa.float64()),
+                    pa.array(listed, pa.list_(pa.struct(_PASSAGE_TYPES))),
+                ],
+                names=["evidence", "passages"],
             )
 
-    whole = docs.schema["kept"].dataType.simpleString()
-    schema = f"id {kind}, evidence double, passages {_PASSAGES}, kept {whole}"
-    return docs.select("id", "text", "kept").mapInArrow(judge, schema)
+    return docs.withColumn("judged", judge(text))
 
 
 def calibration(spark: SparkSession, judged: DataFrame) -> tuple[float, float]:
@@ -244,8 +245,9 @@ def toxicity(
     """
     spark = docs.sparkSession
     fold = F.pmod(F.crc32(F.coalesce(F.col("id").cast("string"), F.lit(""))), F.lit(folds))
-    kept = F.struct(*[docs[c] for c in keep] or [F.lit(0).alias("none")]).alias("kept")
-    rows = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), kept)
+    rows = docs.select(F.col(id_column).alias("id"), F.struct("*").alias("whole"))
+    text = F.col("whole")[text_column]
+    kept = F.struct(*[F.col("whole")[c].alias(c) for c in keep] or [F.lit(0).alias("none")])
     taught = labels.select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
     taught = taught.filter(F.col("label").isin(0, 1) & F.col("id").isNotNull() & (fold != 0))
     taught = stored(taught.groupBy("id").agg(F.max("label").alias("label")), "taught")
@@ -254,10 +256,11 @@ def toxicity(
         share = F.lit(int(taught_rows / known * 2**30))
         taught = taught.filter(F.pmod(F.xxhash64("id"), F.lit(2**30)) < share)
     taught = F.broadcast(taught)
-    counts = word_counts(rows.filter(fold != 0).join(taught, "id").select("label", "text"))
+    counts = word_counts(rows.filter(fold != 0).join(taught, "id").select("label", text.alias("text")))
     scores = log_odds(counts) - DRIFT
     rate, k = extreme_values(scores, counts[0])
-    found = stored(evidence(rows, scores, rate, k), "evidence")
+    judged = evidence(rows, text, scores, rate, k)
+    found = stored(judged.select("id", "judged.*", kept.alias("kept")), "evidence")
     slope, intercept = calibration(spark, found.filter(fold != 0).join(taught, "id").select("evidence", "label"))
     score = F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("evidence") * F.lit(slope) + F.lit(intercept))))
     return found.select(

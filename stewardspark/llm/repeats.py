@@ -299,8 +299,10 @@ def repeated_spans(rows: DataFrame, length: int, gram: int) -> DataFrame:
     """(k1, k2, spans) of the texts of ``rows`` (k1, k2, data) that hold a repeated string."""
     found = stored(rows.select("data").mapInArrow(_find_runs(length, gram), _RUNS), "all-runs")
     # Most buckets have one run, which cannot repeat: the others are few and are kept.
-    # Counted in each task first, and joined back, so that a hot bucket can be split.
+    # Counted in each task first and written: adaptive execution splits a hot bucket in the
+    # join that follows only where neither side is grouped in the same stage.
     shared = found.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1").select("bucket")
+    shared = stored(shared, "shared-buckets")
     found = stored(found.join(shared, "bucket", "left_semi"), "runs")
     kinds = found.groupBy("bucket", "run").agg(
         F.count("*").alias("n"), F.min(F.struct("k1", "k2", "first", "starts")).alias("one")

@@ -584,6 +584,18 @@ _BODIES = {
         SELECT s.*, (SELECT count(*) FROM lineitem
           WHERE CAST(l_shipdate AS DATE) BETWEEN s.start_date AND s.end_date) AS shipments
         FROM sprints s""",
+    "M06_irregular_calendar": """
+        SELECT sprint_id, coalesce(sprint_id, before) AS sprint_or_before,
+          CAST(sum(n) AS BIGINT) AS shipments, min(day) AS first_day, max(day) AS last_day
+        FROM (
+          SELECT day, any_value(n) AS n,
+            arg_max(id, (first, number)) FILTER (day BETWEEN first AND last) AS sprint_id,
+            arg_max(id, (last, first, number)) FILTER (last < day) AS before
+          FROM (SELECT CAST(l_shipdate AS DATE) AS day, count(*) AS n FROM lineitem GROUP BY 1),
+            (SELECT id, number, CAST(start_date + number * 5 % 7 AS DATE) AS first,
+               CAST(start_date + number * 5 % 7 + 6 + number * 11 % 15 AS DATE) AS last FROM sprints)
+          GROUP BY day)
+        GROUP BY ALL""",
     "M07_alert_message": f"""
         SELECT a.id, {_ALERT_SEVERITY} AS severity, {_ALERT_TITLE} AS title,
           {_message('t.name', '75 + CAST(a.id AS BIGINT) % 36', '60 + CAST(a.id AS BIGINT) % 21',
@@ -630,6 +642,7 @@ _BODIES = {
           AND NOT (contains(incident_type, 'pii') OR contains(incident_type, 'data'))""",
     "Q13_ingest_violations": _INGEST,
     "ST01_ingest_stream": _INGEST,
+    "ST01_redelivered_feed": _INGEST,
     "D01_token_budget": """
         SELECT *, 100.0::DOUBLE * tokens / budget AS pct,
           CASE WHEN 100.0::DOUBLE * tokens / budget >= 100 THEN 'escalate'

@@ -302,6 +302,19 @@ def _sprint_calendar(spark, sf_dir):
     return sprints.join(counts, "id", "left").na.fill(0, ["shipments"])
 
 
+@_register("M06_irregular_calendar")
+def _irregular_calendar(spark, sf_dir):
+    """Line items per sprint by stored bounds, days in gaps apart and with the sprint before."""
+    shipped = testdata.source(spark, sf_dir, "lineitem")
+    days = shipped.groupBy(F.col("l_shipdate").cast("date").alias("day")).agg(F.count("*").alias("n"))
+    sprints = testdata.irregular_sprints(spark, sf_dir)
+    within = calendar.with_period(days, "day", sprints).withColumnRenamed("period_id", "sprint_id")
+    both = calendar.with_period(within, "day", sprints, on_gap="previous")
+    return both.groupBy("sprint_id", F.col("period_id").alias("sprint_or_before")).agg(
+        F.sum("n").alias("shipments"), F.min("day").alias("first_day"), F.max("day").alias("last_day")
+    )
+
+
 def _alert_texts(t: Tables) -> DataFrame:
     number = F.col("id").cast("bigint")
     named = reads.with_team_name(t["alerts"], t["teams"])
@@ -462,6 +475,20 @@ def _ingest_stream(spark, sf_dir):
     return ingest.read_landing(spark, landing).select(*_INGESTED)
 
 
+@_register("ST01_redelivered_feed")
+def _redelivered_feed(spark, sf_dir):
+    """The whole feed twice, the second time under a checkpoint that knows nothing of the first."""
+    landing = new_folder(spark, "landing")
+    for _ in range(2):
+        session = ingest.stream_session(spark)
+        feed = testdata.violation_feed(session, testdata.event_stream(session, sf_dir))
+        teams = testdata.derive_tables(session, sf_dir)["teams"]
+        sprints = testdata.feed_calendar(session, sf_dir)
+        checkpoint = new_folder(spark, "stream")
+        ingest.start_ingest_stream(feed, teams, sprints, landing, checkpoint).awaitTermination()
+    return ingest.read_landing(spark, landing).select(*_INGESTED)
+
+
 # Reports that are declared over the tables
 
 _on_tables(

@@ -95,6 +95,15 @@ def sprints_in_use(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calendar.sprint_calendar_of(days, BASE_DATE)
 
 
+def irregular_sprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many sprints, but of 7 to 21 days, with gaps between some and overlaps of others."""
+    return sprints_in_use(spark, sf_dir).selectExpr(
+        "id", "name", "number",
+        "date_add(start_date, number * 5 % 7) AS start_date",
+        "date_add(start_date, number * 5 % 7 + 6 + number * 11 % 15) AS end_date",
+    )
+
+
 def _policies(spark):
     return policy_dim(spark).selectExpr(
         "idx", "id AS policy_id", "name AS policy_name", "category", "severity"

@@ -19,6 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 from stewardspark.operators.quality import with_faults
 from stewardspark.schemas import TABLES
 from stewardspark.sources.parquet_tables import apply_defaults
+from stewardspark.streaming.history import IdHistory
 
 REQUIRED = ["team_id", "sprint_id", "policy_id", "policy_name", "category", "severity"]
 OPTIONAL = ["description", "file_path", "line_number", "tool"]
@@ -136,14 +137,23 @@ def start_ingest_stream(
     landing: str,
     checkpoint: str,
     files_per_batch: int | None = None,
+    horizon: str = "7 days",
+    history_every: int = 100,
 ) -> StreamingQuery:
     """Judge a stream of records and write them below ``landing``.
 
-    Each micro-batch is judged and reduced to one row per id as a batch is, so that
-    adaptive execution can split a sprint that holds most of the feed. An accepted
-    record is left out if an accepted one with its id has landed, at any time and
-    under any checkpoint; a rejected one if it was rejected for the same reasons. A
-    record that was rejected and comes again corrected is accepted.
+    An accepted record is left out if an accepted one with its id has landed, at any
+    time and under any checkpoint; a rejected one if it was rejected for the same
+    reasons. A record that was rejected and comes again corrected is accepted. Copies
+    that arrive within ``horizon`` of the first are found in the state store, keyed by
+    id and reasons, from which a key goes once the horizon has passed. Older ones are
+    found in the history of ids, of which a micro-batch reads only the files that its
+    ids can be in. The history takes up what has landed when the stream starts and after
+    every ``history_every`` micro-batches; these must pass within the horizon.
+
+    A micro-batch is reduced to one row per id as a batch is, so that adaptive execution
+    can split a sprint that holds most of the feed. Of copies with one outcome but
+    unlike content that come in one micro-batch, any one counts.
 
     Each micro-batch replaces a folder of its own, so a batch that is run again
     after a failure leaves no duplicates. The folder also bears the id of the
@@ -151,21 +161,35 @@ def start_ingest_stream(
     checkpoint never replaces what is there. ``files_per_batch`` gathers small
     batches into that many files per status instead of one per shuffle partition.
     """
+    history = IdHistory(feed.sparkSession, landing)
+    history.update()
+    since = 0
 
     def store(batch: DataFrame, number: int) -> None:
+        nonlocal since
         session = batch.sparkSession
         stream = session.sparkContext.getLocalProperty("sql.streaming.queryId")
-        other = (F.col("ingest_stream") != stream) | (F.col("ingest_batch") != number)
-        judged = one_per_id(judge(batch, teams, sprints))
-        fresh = _unseen(judged, read_landing(session, landing).filter(other))
-        if files_per_batch:
-            fresh = fresh.repartition(files_per_batch)
-        folder = f"{landing}/ingest_stream={stream}/ingest_batch={number}"
-        static = fresh.write.mode("overwrite").option("partitionOverwriteMode", "static")
-        static.partitionBy("status").parquet(folder)
-
+        if since >= history_every:
+            history.update()
+            since = 0
+        since += 1
+        # Kept, so that its files are found and its rows written from one run of the state.
+        judged = one_per_id(batch).persist()
+        try:
+            other = (F.col("ingest_stream") != stream) | (F.col("ingest_batch") != number)
+            fresh = _unseen(judged, history.near(judged).filter(other))
+            if files_per_batch:
+                fresh = fresh.repartition(files_per_batch)
+            folder = f"{landing}/ingest_stream={stream}/ingest_batch={number}"
+            static = fresh.write.mode("overwrite").option("partitionOverwriteMode", "static")
+            static.partitionBy("status").parquet(folder)
+        finally:
+            judged.unpersist()
+
+    judged = judge(with_id(feed), teams, sprints).withColumn("_arrived", F.current_timestamp())
+    first = judged.withWatermark("_arrived", horizon).dropDuplicatesWithinWatermark(["id", "reasons"])
     return (
-        with_id(feed).writeStream.foreachBatch(store)
+        first.drop("_arrived").writeStream.foreachBatch(store)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

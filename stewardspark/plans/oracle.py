@@ -616,6 +616,9 @@ _BODIES = {
     "L04_full_refresh": _union(
         f"SELECT '{table}' AS table_name, count(*) AS row_count FROM {table}" for table in TABLES
     ),
+    "L04_snapshot_refresh": _union(
+        f"SELECT '{table}' AS table_name, count(*) AS row_count FROM {table}" for table in TABLES
+    ),
     "L05_apply_defaults": """
         SELECT 'absent' AS input, 'open' AS status, count(*) AS n FROM security_incidents
         UNION ALL

@@ -384,6 +384,21 @@ def _full_refresh(spark, sf_dir):
     return counts.select("table_name", "row_count")
 
 
+@_register("L04_snapshot_refresh")
+def _snapshot_refresh(spark, sf_dir):
+    """A snapshot of a part, one of everything, and rows added to that."""
+    root = new_folder(spark, "snapshots")
+    tables = testdata.derive_tables(spark, sf_dir)
+    open_ones = {**tables, "policy_violations": tables["policy_violations"].filter("resolved = 0")}
+    parquet_tables.snapshot_refresh(Tables.of(**open_ones), root)
+    parquet_tables.snapshot_refresh(Tables.of(**open_ones), root)
+    resolved = tables["policy_violations"].filter("resolved = 1")
+    parquet_tables.write_table(resolved, root, "policy_violations")
+    parquet_tables.drop_old_snapshots(spark, root, keep=1)
+    counts = parquet_tables.row_and_null_counts(parquet_tables.load_tables(spark, root))
+    return counts.select("table_name", "row_count")
+
+
 def _apply_defaults(t: Tables) -> DataFrame:
     """Incidents without a status column, and with NULL in place of some."""
     spec = TABLES["security_incidents"]

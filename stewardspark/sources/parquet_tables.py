@@ -1,6 +1,10 @@
 """Reading, writing and refreshing the ten tables as Parquet, and SQL over them.
 
 Fact tables are partitioned by sprint, the column nearly every question filters.
+
+The tables lie below a root, or in a snapshot below ``<root>/_versions``. Which snapshot
+counts is said by the marks in ``<root>/_published``: the last one. Reading and writing
+look there first, so all ten tables change at one moment.
 """
 
 import re
@@ -11,17 +15,29 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stewardspark.schemas import TABLES, TableSpec
+from stewardspark.sources import folders
 from stewardspark.tables import Tables
 
 
+def current_root(spark: SparkSession, root: str) -> str:
+    """Where the tables lie: the snapshot published last, else ``root`` itself."""
+    published = folders.names(spark, f"{root}/_published")
+    return f"{root}/_versions/{published[-1]}" if published else root
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
+    return _read(spark, current_root(spark, root), name)
+
+
+def _read(spark: SparkSession, place: str, name: str) -> DataFrame:
     spec = TABLES[name]
-    return spark.read.schema(spec.schema).parquet(f"{root}/{name}").select(*spec.columns)
+    return spark.read.schema(spec.schema).parquet(f"{place}/{name}").select(*spec.columns)
 
 
 def load_tables(spark: SparkSession, root: str) -> Tables:
-    """The ten tables below ``root``, each with its declared types."""
-    return Tables({name: lambda name=name: read_table(spark, root, name) for name in TABLES})
+    """The ten tables below ``root``, each with its declared types, all of one snapshot."""
+    place = current_root(spark, root)
+    return Tables({name: lambda name=name: _read(spark, place, name) for name in TABLES})
 
 
 def apply_defaults(df: DataFrame, spec: TableSpec, *more: Column | str) -> DataFrame:
@@ -58,14 +74,15 @@ def write_table(df: DataFrame, root: str, name: str, mode: str = "append") -> No
         rows = rows.withColumn(column, value)
     rows = rows.hint("rebalance", *[F.col(column) for column in spec.partition_by])
     writer = rows.write.mode(mode).option("partitionOverwriteMode", "static")
-    writer.partitionBy(*spec.partition_by).parquet(f"{root}/{name}")
+    place = current_root(df.sparkSession, root)
+    writer.partitionBy(*spec.partition_by).parquet(f"{place}/{name}")
 
 
 def full_refresh(tables: Tables, root: str) -> None:
     """Replace all ten tables, the referenced ones first.
 
-    Each table is replaced as a whole, but not all ten at one moment. Load the
-    tables again afterwards: a DataFrame from before still names the old files.
+    Each table is replaced as a whole, but not all ten at one moment, for which there is
+    ``snapshot_refresh``. Load the tables again afterwards: a DataFrame from before still names the old files.
 
     The tables that refer to them are written side by side: each job ends with a
     few long tasks, and the other jobs fill the cores left free by then.
@@ -80,36 +97,64 @@ def full_refresh(tables: Tables, root: str) -> None:
             list(pool.map(refresh, sorted(names)))
 
 
-_QUOTED = re.compile(r"""('(?:[^'\\]|\\.|'')*'|"[^"]*"|`[^`]*`|--[^\n]*|/\*.*?\*/)""", re.DOTALL)
+def snapshot_refresh(tables: Tables, root: str) -> str:
+    """Replace all ten tables at one moment; the name of the snapshot.
+
+    They are written to a folder of their own and then published by one mark. A refresh
+    that is cut off, at whichever table, publishes nothing: readers stay with the
+    snapshot before, which a DataFrame made earlier goes on reading in any case. What
+    is left of it goes with ``drop_old_snapshots``.
+    """
+    spark = tables["teams"].sparkSession
+    numbers = [int(name.split("-")[0]) for name in folders.names(spark, f"{root}/_versions")]
+    name = f"{max(numbers, default=0) + 1:012d}-{uuid.uuid4().hex}"
+    full_refresh(tables, f"{root}/_versions/{name}")
+    folders.mark(spark, f"{root}/_published/{name}")
+    return name
+
+
+def drop_old_snapshots(spark: SparkSession, root: str, keep: int = 2) -> list[str]:
+    """Remove all but the last ``keep`` published snapshots, and unpublished ones before those."""
+    if keep < 1:
+        raise ValueError("at least one snapshot stays")
+    published = folders.names(spark, f"{root}/_published")
+    kept = published[-keep:]
+    gone = [n for n in folders.names(spark, f"{root}/_versions") if kept and n < kept[0]]
+    for name in gone:
+        folders.remove(spark, f"{root}/_published/{name}")
+        folders.remove(spark, f"{root}/_versions/{name}")
+    return gone
+
+
+_STARTS_WITH_CTE = re.compile(r"(?:\s|--[^\n]*(?:\n|$)|/\*.*?\*/)*WITH\b", re.IGNORECASE | re.DOTALL)
 
 
 def run_query(tables: Tables, sql: str, params: tuple | list | dict = ()) -> DataFrame:
-    """Run SQL text over the tables with values bound to ``?`` or ``:name``.
+    """Run the text of one query over the tables with values bound to ``?`` or ``:name``.
 
-    Table names are whole words in any case, outside of quotes and comments. They
-    stand for views with names of their own, gone when the text has been read, so a
-    caller's views are neither used nor replaced.
+    The text stays as it is: the tables stand before it as common table expressions, so
+    aliases, column names and expressions of its own may bear a table's name, which
+    then means what SQL says. They read views with names of their own, gone when the
+    text has been read, so a caller's views are neither used nor replaced. Only tables
+    whose name occurs in the text are looked up.
     """
     if not isinstance(params, dict):
         params = list(params)
-    mark, views = uuid.uuid4().hex, {}
-
-    def view(word: re.Match) -> str:
-        name = word[0].lower()
-        if name not in views:
-            views[name] = f"{name}_{mark}"
-            tables[name].createOrReplaceTempView(views[name])
-        return views[name]
-
-    names = re.compile(rf"(?<![\w:.])(?:{'|'.join(tables)})(?!\w)", re.IGNORECASE)
-    parts = _QUOTED.split(sql)
-    text = "".join(part if i % 2 else names.sub(view, part) for i, part in enumerate(parts))
-    spark = tables[next(iter(views))].sparkSession if views else SparkSession.active()
+    mark = uuid.uuid4().hex
+    named = [name for name in tables if re.search(rf"\b{name}\b", sql, re.IGNORECASE)]
+    text, spark = sql.strip().rstrip(";"), SparkSession.active()
     try:
+        for name in named:
+            tables[name].createOrReplaceTempView(f"{name}_{mark}")
+            spark = tables[name].sparkSession
+        if named:
+            before = ", ".join(f"{name} AS (SELECT * FROM {name}_{mark})" for name in named)
+            own = f"SELECT * FROM (\n{text}\n)" if _STARTS_WITH_CTE.match(text) else text
+            text = f"WITH {before}\n{own}"
         return spark.sql(text, args=params or None)
     finally:
-        for name in views.values():
-            spark.catalog.dropTempView(name)
+        for name in named:
+            spark.catalog.dropTempView(f"{name}_{mark}")
 
 
 def row_and_null_counts(tables: Tables) -> DataFrame:

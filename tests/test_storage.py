@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from stewardspark.operators import quality
 from stewardspark.schemas import TABLES
 from stewardspark.session import new_folder, shared_folder
+from stewardspark.sources import folders
 from stewardspark.sources import parquet_tables as pt
 from stewardspark.sources import testdata
+from stewardspark.tables import Tables
 from tests.conftest import SMALL
 
 
@@ -80,6 +82,72 @@ def test_run_query_binds_values(small):
     assert pt.run_query(small, "SELECT * FROM sprints ORDER BY number").count() == 5
 
 
+def test_a_query_may_use_table_names_as_its_own(spark, small):
+    def rows(sql, *params):
+        df = pt.run_query(small, sql, params)
+        return df.columns, [tuple(r) for r in df.collect()]
+
+    assert rows("SELECT COUNT(*) AS alerts FROM alerts") == (["alerts"], [(16,)])
+    assert rows("SELECT sprints.n FROM (SELECT count(*) AS n FROM alerts) sprints") == (["n"], [(16,)])
+    assert rows("SELECT count(*) AS `teams` FROM `Teams` alerts;") == (["teams"], [(3,)])
+    columns, found = rows(
+        """-- high ones of WITH
+        WITH alerts AS (SELECT * FROM alerts WHERE severity = ?), teams AS (SELECT 'alerts' AS name)
+        SELECT count(*) AS n, max(teams.name) AS name FROM alerts, teams""",
+        "high",
+    )
+    assert (columns, found) == (["n", "name"], [(10, "alerts")])
+    with_order = "WITH t AS (SELECT * FROM teams) SELECT id FROM t ORDER BY id DESC LIMIT 2"
+    assert rows(with_order)[1] == [("t3",), ("t2",)]
+    assert rows("SELECT 1 AS one") == (["one"], [(1,)])
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith(("alerts_", "teams_"))]
+
+
+# Snapshots
+
+
+def counts(spark, root):
+    return {name: df.count() for name, df in pt.load_tables(spark, root).items()}
+
+
+def test_a_snapshot_replaces_all_tables_at_once(spark, small, folder):
+    pt.full_refresh(small, folder)
+    before = pt.load_tables(spark, folder)["alerts"]
+    only = Tables.of(**{name: df.limit(1) for name, df in small.items()})
+    pt.snapshot_refresh(only, folder)
+    assert set(counts(spark, folder).values()) == {1}
+    assert before.count() == 16
+    pt.write_table(small["alerts"].limit(2), folder, "alerts")
+    assert pt.read_table(spark, folder, "alerts").count() == 3
+    pt.snapshot_refresh(small, folder)
+    assert counts(spark, folder) == {name: df.count() for name, df in small.items()}
+
+
+@pytest.mark.parametrize("lost", ["teams", "sprints", "alerts", "token_usage"])
+def test_a_refresh_cut_off_changes_no_table(spark, small, folder, monkeypatch, lost):
+    first = pt.snapshot_refresh(small, folder)
+    only = Tables.of(**{name: df.limit(1) for name, df in small.items()})
+    write = pt.write_table
+
+    def cut_off(df, root, name, mode="append"):
+        if name == lost:
+            raise RuntimeError("lost")
+        write(df, root, name, mode)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(pt, "write_table", cut_off)
+        with pytest.raises(RuntimeError):
+            pt.snapshot_refresh(only, folder)
+    assert counts(spark, folder) == {name: df.count() for name, df in small.items()}
+    last = pt.snapshot_refresh(only, folder)
+    assert set(counts(spark, folder).values()) == {1}
+    dropped = pt.drop_old_snapshots(spark, folder, keep=1)
+    assert first in dropped and last not in dropped
+    assert folders.names(spark, f"{folder}/_versions") == [last]
+    assert set(counts(spark, folder).values()) == {1}
+    assert pt.drop_old_snapshots(spark, folder, keep=1) == []
+
+
 class NamedSession:
     """A session as far as its settings go."""
 

@@ -123,7 +123,8 @@ def mix(
     source should give (see ``source_targets``), ``taken`` the words the mix takes
     from the row: ``passes`` times the whole and the words of ``spans``, pairs of
     first and last (exclusive) word. No row exceeds ``most`` times its size.
-    ``kept`` is a struct of the columns ``keep``, whatever their names.
+    ``kept`` is a struct of the columns ``keep``, whatever their names; it is joined to
+    the rows' plan in the end, so that no text is sorted.
 
     All words of all targets make blocks of ``block_words``, apportioned to
     sources by highest quotients, then each source's to its shards by their sizes.
@@ -134,9 +135,31 @@ def mix(
     null source is a source of its own, empty texts take nothing, an empty table
     gives an empty result.
     """
+    rows, mixed = _plan(
+        docs, weights, block_words, shard_words, most, seed, keep, id_column, text_column, source_column
+    )
+    if not keep:
+        return mixed.drop("row").withColumn("kept", F.struct(F.lit(0).alias("none")))
+    return rows.select("row", "kept").join(mixed, "row").drop("row")
+
+
+def _plan(
+    docs: DataFrame,
+    weights: Sequence[float] = (1, 2, 3),
+    block_words: int = BLOCK_WORDS,
+    shard_words: int = SHARD_WORDS,
+    most: int = MOST,
+    seed: int = SEED,
+    keep: Sequence[str] = (),
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    source_column: str = "source",
+) -> tuple[DataFrame, DataFrame]:
+    """Numbered rows with ``kept``, and what the mix takes of each row by its number."""
     size = n_words(F.col(text_column))
     rows = stored(
         docs.select(
+            F.monotonically_increasing_id().alias("row"),
             F.col(id_column).alias("doc_id"),
             F.col(source_column).alias("source"),
             size.alias("size"),
@@ -159,7 +182,7 @@ def mix(
     )
     same = rows["source"].eqNullSafe(sources["source"])
     placed = rows.join(sources.select(F.col("source"), "source_no", "shards"), same).select(
-        "doc_id", "size", "_place", "kept", "source_no",
+        "row", "doc_id", "size", "_place", "source_no",
         F.pmod(F.col("_place"), F.col("shards")).cast("int").alias("shard"),
     )
     held = placed.groupBy("source_no", "shard").agg(F.sum("size").cast("double").alias("claim"))
@@ -176,7 +199,7 @@ def mix(
         F.when(length > 0, wanted % length).otherwise(0).alias("_rest"),
         F.when(length > 0, start).otherwise(0).alias("_start"),
     )
-    order = Window.partitionBy("source_no", "shard").orderBy("_place", "doc_id", "size")
+    order = Window.partitionBy("source_no", "shard").orderBy("_place", "doc_id", "size", "row")
     placed = placed.withColumn("_begin", F.sum("size").over(order) - F.col("size"))
     mixed = placed.join(quotas, ["source_no", "shard"])
     stop = F.col("_start") + F.col("_rest")
@@ -194,7 +217,8 @@ def mix(
         "spans", F.lit(0).cast("long"), lambda n, span: n + span["last"] - span["first"]
     )
     taken = (F.col("passes") * F.col("size") + partly).alias("taken")
-    return mixed.select("doc_id", "size", "source_size", "target", taken, "passes", "spans", "kept")
+    mixed = mixed.select("row", "doc_id", "size", "source_size", "target", taken, "passes", "spans")
+    return rows, (stored(mixed, "mix-plan") if keep else mixed)
 
 
 @F.pandas_udf(StringType())
@@ -217,20 +241,23 @@ def _cut(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
     return pd.Series([cut(*x) for x in zip(texts, firsts, lasts, strict=True)], dtype=object)
 
 
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+def mixed_documents(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options
+) -> DataFrame:
     """The mix itself, in the columns of ``docs``: whole texts as often as they are
-    taken, and cut texts, their ``n_chars`` counted again, where a part is taken."""
+    taken, and cut texts, their ``n_chars`` (if there) counted again, where a part is
+    taken. Only texts to be cut go to Python."""
     names = docs.columns
-    rows = mix(docs, keep=names, **options).filter("taken > 0")
-    whole = rows.filter("passes > 0").select(
-        "kept", F.explode(F.expr("sequence(1, passes)")).alias("_copy")
-    )
-    whole = whole.select("kept.*")
-    parts = rows.select("kept", "size", F.explode("spans").alias("span"))
-    full = (F.col("span.first") == 0) & (F.col("span.last") == F.col("size"))
-    text = _cut(F.col("kept.text"), F.col("span.first"), F.col("span.last"))
-    changed = {"text": text, "n_chars": F.length(text).cast(docs.schema["n_chars"].dataType)}
-    cut = parts.filter(~full).select(
-        *[(changed[c] if c in changed else F.col(f"kept.`{c}`")).alias(c) for c in names]
-    )
-    return whole.unionByName(parts.filter(full).select("kept.*")).unionByName(cut)
+    rows, mixed = _plan(docs, keep=names, id_column=id_column, text_column=text_column, **options)
+    whole = F.struct(F.lit(0).cast("long").alias("first"), F.col("size").cast("long").alias("last"))
+    pieces = F.concat(F.array_repeat(whole, F.col("passes")), "spans")
+    pieces = mixed.filter("taken > 0").select("row", "size", F.explode(pieces).alias("piece"))
+    full = (F.col("piece.first") == 0) & (F.col("piece.last") == F.col("size"))
+    texts = rows.select("row", "kept")
+    text = _cut(F.col("kept")[text_column], F.col("piece.first"), F.col("piece.last"))
+    cut = pieces.filter(~full).join(texts, "row").select("kept", text.alias("_text"))
+    changed = {text_column: F.col("_text")}
+    if "n_chars" in names:
+        changed["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    cut = cut.select(*[changed.get(c, F.col("kept")[c]).alias(c) for c in names])
+    return pieces.filter(full).join(texts, "row").select("kept.*").unionByName(cut)

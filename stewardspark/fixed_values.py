@@ -129,6 +129,7 @@ ALERT_TEMPLATES = {
     ),
 }
 ALERT_SOURCE = "governance_engine"
+QUALITY_GATE = "CS-001"
 
 VIOLATION_TEXT = "Violation of {policy} detected in AI-generated code"
 

@@ -16,13 +16,15 @@ def threshold_alerts(
     per_developer: int = fv.TOKENS_PER_DEVELOPER,
     compliance_below: int = fv.COMPLIANCE_ALERT_BELOW,
     milestone_pct: int = fv.ADOPTION_MILESTONE_PCT,
+    policies: list[tuple] | None = None,
 ) -> DataFrame:
     """One alert per type, team and sprint (and category, for compliance) that is due.
 
     The five sources are unlike each other, so each is reduced to the groups that
-    are due; names, texts and ids are added once, after the union.
+    are due; names, texts and ids are added once, after the union. The quality gate's
+    limit is that of ``policies``; where these have none, no such alert is due.
     """
-    quality_limit = next(float(p[6]) for p in fv.POLICIES if p[0] == "CS-001")
+    limit = F.lit(quality_limit(policies))
     nothing = F.lit(None).cast("string")
 
     def due(groups: DataFrame, alert_type: str, pct: Column = nothing, category: Column = nothing):
@@ -56,7 +58,7 @@ def threshold_alerts(
                 "compliance_drop",
                 category=F.col("category"),
             ),
-            due(quality.filter(F.col("mean") < quality_limit), "quality_gate"),
+            due(quality.filter(F.col("mean") < limit), "quality_gate"),
             due(exposures, "security_incident"),
             due(
                 adoption.filter(F.col("mean") >= milestone_pct),
@@ -65,11 +67,22 @@ def threshold_alerts(
             ),
         ],
     )
-    teams = tables["teams"].select(F.col("id").alias("team_id"), F.col("name").alias("team"))
-    sprints = tables["sprints"].select(F.col("id").alias("sprint_id"), "number")
+    return alert_rows(all_due, tables["teams"], tables["sprints"], compliance_below)
+
+
+def quality_limit(policies: list[tuple] | None = None) -> float | None:
+    """The quality gate's threshold in ``policies``, or in the built-in list if that is None."""
+    limits = [p[6] for p in (fv.POLICIES if policies is None else policies) if p[0] == fv.QUALITY_GATE]
+    return float(limits[0]) if limits and limits[0] is not None else None
+
+
+def alert_rows(due: DataFrame, teams: DataFrame, sprints: DataFrame, compliance_below: int, *more: str):
+    """Alerts from ``due`` (team_id, sprint_id, alert_type, pct, category and ``more``)."""
+    teams = teams.select(F.col("id").alias("team_id"), F.col("name").alias("team"))
+    sprints = sprints.select(F.col("id").alias("sprint_id"), "number")
     kind = F.col("alert_type")
     return (
-        all_due.join(teams, "team_id")
+        due.join(teams, "team_id")
         .join(sprints, "sprint_id")
         .select(
             F.concat_ws(":", "alert_type", "team_id", "sprint_id", "category").alias("id"),
@@ -88,5 +101,6 @@ def threshold_alerts(
             ).alias("message"),
             F.lit(fv.ALERT_SOURCE).alias("source"),
             F.lit(0).alias("acknowledged"),
+            *more,
         )
     )

@@ -26,6 +26,14 @@ def violations_per_role(violations: DataFrame, policies: DataFrame) -> DataFrame
     )
 
 
+def violations_of_refused(violations: DataFrame, refused: DataFrame) -> DataFrame:
+    """Policies of a file that were refused (id, reasons), with the violations that name them."""
+    counts = _violations_per_policy(violations)
+    return refused.join(counts, refused["id"] == counts["policy_id"], "left").select(
+        F.col("id").alias("policy_id"), "reasons", F.coalesce("violations", F.lit(0)).alias("violations")
+    )
+
+
 def role_policy_matrix(violations, policies, listed, roles=None) -> DataFrame:
     """One row per policy: 1 under each role that lists it, and its violations.
 
@@ -59,15 +67,23 @@ def role_mismatch(violations, policies, listed) -> DataFrame:
     )
 
 
-def policy_evaluation(violations, quality, teams, policies=None) -> DataFrame:
+def team_sprints(teams: DataFrame, sprints: DataFrame) -> DataFrame:
+    """Every listed team with every listed sprint: the list of sprints, which is one
+    short array, is unfolded for each team."""
+    listed = sprints.agg(F.collect_set("id")).scalar()
+    return teams.select(F.col("id").alias("team_id"), F.explode(listed).alias("sprint_id"))
+
+
+def policy_evaluation(violations, quality, teams, policies=None, sprints=None) -> DataFrame:
     """pass, fail or no_data per policy, team and sprint; no_data without a threshold.
 
     A policy is judged on its number of violations, or on the mean of a quality
     measure. All teams and sprints count that reported a violation or a quality
-    measure. Each fact is read once and reduced to one row per team and sprint
+    measure, and with ``sprints`` every listed team in every listed sprint: where
+    nothing happened there are no violations, and no measures. Each fact is read once and reduced to one row per team and sprint
     with a column per policy; the policies are unfolded after that.
     """
-    policies = policies or fv.POLICIES
+    policies = fv.POLICIES if policies is None else policies
     counted = [
         p[0] for p in policies
         if p[0] not in fv.MEASURED_POLICIES and p[0] not in fv.UNMEASURED_POLICIES
@@ -79,7 +95,10 @@ def policy_evaluation(violations, quality, teams, policies=None) -> DataFrame:
     means = quality.groupBy(*keys).agg(
         *[F.avg(column).alias(p) for p, (column, _) in fv.MEASURED_POLICIES.items()]
     )
-    wide = counts.join(means, keys, "full").na.fill(0.0, counted)
+    wide = counts.join(means, keys, "full")
+    if sprints is not None:
+        wide = team_sprints(teams, sprints).join(wide, keys, "full")
+    wide = wide.na.fill(0.0, counted)
 
     def judged(policy):
         name, threshold = policy[0], None if policy[6] is None else float(policy[6])

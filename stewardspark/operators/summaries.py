@@ -1,6 +1,6 @@
 """Summaries per team and sprint: cost, quality, adoption, security, lifecycle."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stewardspark import fixed_values as fv
@@ -10,6 +10,12 @@ from stewardspark.operators.aggregates import with_sprint, with_team
 PER_TEAM_AND_SPRINT = ["team_id", "sprint_id"]
 
 
+def team_budget(per_developer: int, multiplier: str = fv.TEAM_BUDGET_MULTIPLIER) -> Column:
+    """Tokens that a team of ``size`` may use in a sprint."""
+    factor = F.lit(multiplier).cast("decimal(9,3)")
+    return (F.col("size") * F.lit(per_developer) * factor).cast("double")
+
+
 def token_budget(
     usage,
     teams,
@@ -21,8 +27,7 @@ def token_budget(
     """Tokens used against the budget of each team and sprint."""
     used = usage.groupBy(*PER_TEAM_AND_SPRINT).agg(F.sum("total_tokens").alias("tokens"))
     sizes = teams.select(F.col("id").alias("team_id"), F.col("name").alias("team"), "size")
-    factor = F.lit(multiplier).cast("decimal(9,3)")
-    budget = (F.col("size") * F.lit(per_developer) * factor).cast("double")
+    budget = team_budget(per_developer, multiplier)
     pct = measures.ratio(F.col("tokens") * F.lit(100.0), F.col("budget"))
     return (
         used.join(sizes, "team_id")

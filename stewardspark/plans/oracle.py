@@ -96,6 +96,11 @@ _PARTS = {
     ),
     "policies": f"""
         SELECT * FROM (VALUES {_POLICY_VALUES}) v(idx, id, name, category, severity, threshold)""",
+    "refused_policies": """
+        SELECT * FROM (VALUES ('PF-001', 'unknown severity'), ('DC-001', 'missing name'),
+          ('TS-002', 'unreadable'), ('AR-002', 'unknown category; negative threshold'),
+          ('SEC-002', 'id given twice'), ('SEC-002', 'id given twice'),
+          (NULL, 'unreadable'), (NULL, 'unreadable')) v(policy_id, reasons)""",
     "applies": f"SELECT * FROM (VALUES {_APPLIES_VALUES}) v(policy_id, role)",
     "listed": f"SELECT * FROM (VALUES {_LISTED_VALUES}) v(policy_id, role)",
     "prices": f"SELECT * FROM (VALUES {_PRICE_VALUES}) v(model, p_in, p_out)",
@@ -417,7 +422,8 @@ def _evaluation() -> str:
             CAST(p.threshold AS DOUBLE) AS threshold,
             CASE WHEN p.id IN ({in_counted}) THEN CAST(coalesce(v.n, 0) AS DOUBLE)
               ELSE CASE p.id {measures} END END AS measure
-          FROM (SELECT team_id, sprint_id FROM policy_violations
+          FROM (SELECT t.id AS team_id, s.id AS sprint_id FROM teams t CROSS JOIN sprints s
+            UNION SELECT team_id, sprint_id FROM policy_violations
             UNION SELECT team_id, sprint_id FROM code_quality_metrics) pairs
           CROSS JOIN (SELECT * FROM policies) p
           JOIN teams t ON t.id = pairs.team_id
@@ -629,6 +635,15 @@ _BODIES = {
           CAST(p.threshold AS DOUBLE) AS threshold, coalesce(n, 0) AS violations
         FROM applies a JOIN policies p ON p.id = a.policy_id
         LEFT JOIN per_policy v ON v.policy_id = a.policy_id""",
+    "L06_policy_file": """
+        SELECT a.policy_id, a.role, p.category, p.severity,
+          CAST(p.threshold AS DOUBLE) AS threshold, coalesce(n, 0) AS violations, '' AS reasons
+        FROM applies a JOIN policies p ON p.id = a.policy_id
+        LEFT JOIN per_policy v ON v.policy_id = a.policy_id
+        WHERE a.policy_id NOT IN (SELECT policy_id FROM refused_policies WHERE policy_id IS NOT NULL)
+        UNION ALL
+        SELECT r.policy_id, NULL, NULL, NULL, NULL, coalesce(n, 0), r.reasons
+        FROM refused_policies r LEFT JOIN per_policy v ON v.policy_id = r.policy_id""",
     "L07_model_price_dim": """
         SELECT p.model, CAST(p_in AS DOUBLE) AS input_cost_per_1k,
           CAST(p_out AS DOUBLE) AS output_cost_per_1k,
@@ -671,6 +686,46 @@ _BODIES = {
             CAST(floor(avg(adoption_rate_pct)) AS BIGINT), NULL
           FROM adoption_metrics GROUP BY team_id, sprint_id HAVING avg(adoption_rate_pct) >= 75) d
         JOIN teams t ON t.id = d.team_id JOIN sprints s ON s.id = d.sprint_id""",
+    "D02_alert_stream": f"""
+        SELECT concat_ws(':', alert_type, team_id, sprint_id, category) AS id, team_id, sprint_id,
+          alert_type, {_ALERT_SEVERITY} AS severity, {_ALERT_TITLE} AS title,
+          {_message('t.name', 'pct', '60', 'category', 's.number')} AS message,
+          'governance_engine' AS source, 0 AS acknowledged
+        FROM (
+          SELECT team_id, sprint_id, 'token_budget' AS alert_type,
+            CAST(floor(100.0::DOUBLE * tokens / budget) AS BIGINT) AS pct,
+            CAST(NULL AS VARCHAR) AS category
+          FROM budget WHERE 100.0::DOUBLE * tokens / budget >= 80
+          UNION ALL SELECT team_id, sprint_id, 'compliance_drop', NULL, category
+          FROM compliance_scores GROUP BY ALL HAVING avg(score) < 60
+          UNION ALL SELECT team_id, sprint_id, 'quality_gate', NULL, NULL
+          FROM code_quality_metrics GROUP BY ALL HAVING avg(sonarqube_score) < 80
+          UNION ALL SELECT DISTINCT team_id, sprint_id, 'security_incident', NULL, NULL
+          FROM security_incidents WHERE incident_type = 'pii_exposure'
+          UNION ALL SELECT team_id, sprint_id, 'adoption_milestone',
+            CAST(floor(avg(adoption_rate_pct)) AS BIGINT), NULL
+          FROM adoption_metrics GROUP BY team_id, sprint_id HAVING avg(adoption_rate_pct) >= 75) d
+        JOIN teams t ON t.id = d.team_id JOIN sprints s ON s.id = d.sprint_id""",
+    "D02_alerts_by_policy_file": f"""
+        SELECT concat_ws(':', alert_type, team_id, sprint_id, category) AS id, team_id, sprint_id,
+          alert_type, {_ALERT_SEVERITY} AS severity, {_ALERT_TITLE} AS title,
+          {_message('t.name', 'pct', '60', 'category', 's.number')} AS message,
+          'governance_engine' AS source, 0 AS acknowledged
+        FROM (
+          SELECT team_id, sprint_id, 'token_budget' AS alert_type,
+            CAST(floor(100.0::DOUBLE * tokens / budget) AS BIGINT) AS pct,
+            CAST(NULL AS VARCHAR) AS category
+          FROM budget WHERE 100.0::DOUBLE * tokens / budget >= 80
+          UNION ALL SELECT team_id, sprint_id, 'compliance_drop', NULL, category
+          FROM compliance_scores GROUP BY ALL HAVING avg(score) < 60
+          UNION ALL SELECT team_id, sprint_id, 'quality_gate', NULL, NULL
+          FROM code_quality_metrics GROUP BY ALL HAVING avg(sonarqube_score) < 90
+          UNION ALL SELECT DISTINCT team_id, sprint_id, 'security_incident', NULL, NULL
+          FROM security_incidents WHERE incident_type = 'pii_exposure'
+          UNION ALL SELECT team_id, sprint_id, 'adoption_milestone',
+            CAST(floor(avg(adoption_rate_pct)) AS BIGINT), NULL
+          FROM adoption_metrics GROUP BY team_id, sprint_id HAVING avg(adoption_rate_pct) >= 75) d
+        JOIN teams t ON t.id = d.team_id JOIN sprints s ON s.id = d.sprint_id""",
     "D03_policy_evaluation": _evaluation(),
     "D04_role_policy_matrix": """
         SELECT p.id AS policy_id,

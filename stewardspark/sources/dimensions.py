@@ -48,15 +48,19 @@ class PolicyFile(NamedTuple):
 
 
 def read_policy_file(path: str) -> PolicyFile:
-    """The contents of a YAML policy file.
+    """The contents of a YAML policy file on the driver, unchecked.
 
-    A policy file is written by hand and holds tens of rows, so the driver reads it.
+    ``policy_files`` reads one wherever Spark can, and checks its rows.
     """
+    return parse_policy_text(Path(path).read_text(encoding="utf-8"))
+
+
+def parse_policy_text(text: str) -> PolicyFile:
     try:
         import yaml
     except ImportError as error:
         raise ImportError("reading a policy file needs the yaml package") from error
-    content = yaml.safe_load(Path(path).read_text(encoding="utf-8"))
+    content = yaml.safe_load(text)
     budget = content.get("token_budgets") or {}
     arguments = {
         "per_developer": budget.get("per_developer_per_sprint"),

@@ -10,7 +10,11 @@ from stewardspark.sources import testdata
 from tests.conftest import SMALL
 
 # These write files or run a stream on call; their parts are planned elsewhere.
-WRITING = {"L01_load_tables", "L03_write_table", "L04_full_refresh", "L04_snapshot_refresh", "ST01_ingest_stream", "ST01_redelivered_feed"}
+WRITING = {
+    "L01_load_tables", "L03_write_table", "L04_full_refresh", "L04_snapshot_refresh",
+    "ST01_ingest_stream", "ST01_redelivered_feed",
+    "D02_alert_stream",
+}
 
 
 def executed_plan(df) -> str:

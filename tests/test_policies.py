@@ -1,0 +1,89 @@
+"""Policy files read by Spark, the dense grid of evaluations, limits from a file."""
+
+import json
+from itertools import product
+
+import pytest
+
+from stewardspark import fixed_values as fv
+from stewardspark.operators import policies
+from stewardspark.operators.alerting import threshold_alerts
+from stewardspark.sources import policy_files
+
+GOOD = {"id": "A-1", "name": "One", "category": "security", "severity": "high",
+        "applies_to": ["developer"], "threshold": 2}
+
+
+def judged(spark, folder, *lines):
+    path = f"{folder}/policies.jsonl"
+    with open(path, "w", encoding="utf-8") as file:
+        file.write("\n".join(line if isinstance(line, str) else json.dumps(line) for line in lines))
+    return policy_files.read_policy_lines(spark, path)
+
+
+def test_faulty_lines_are_set_apart(spark, folder):
+    df = judged(
+        spark, folder, GOOD, GOOD, "", "  ", "{not json", '"text"', {**GOOD, "id": "A-2", "severity": None},
+        {**GOOD, "id": "A-3", "category": "other", "threshold": -0.5}, {**GOOD, "id": " "},
+        {**GOOD, "id": "A-4"}, {**GOOD, "id": "A-4", "name": "Another"}, {**GOOD, "id": "A-5", "applies_to": None, "more": 1},
+        {**GOOD, "id": "A-6", "threshold": "two"},
+    )
+    kept = policy_files.accepted_policies(df)
+    assert [(r.idx, r.id, r.applies_to, r.threshold) for r in kept.orderBy("idx").collect()] == [
+        (0, "A-1", ["developer"], 2.0), (1, "A-5", [], 2.0),
+    ]
+    refused = policy_files.refused_policies(df)
+    assert sorted((r.id or "", r.reasons) for r in refused.collect()) == [
+        ("", "unreadable"), ("", "unreadable"), (" ", "missing id"), ("A-2", "missing severity"),
+        ("A-3", "unknown category; negative threshold"), ("A-4", "id given twice"),
+        ("A-4", "id given twice"), ("A-6", "unreadable"),
+    ]
+    assert all(r.line for r in refused.collect())
+
+
+def test_a_document_is_read_through_spark(spark, folder):
+    yaml = pytest.importorskip("yaml")
+    listed = [dict(zip(["id", "name", "description", "category", "severity", "applies_to", "threshold", "tool"], p)) for p in fv.POLICIES]
+    content = {"policies": [*listed, {**GOOD, "severity": "?"}], "roles": {"r": {"policies": ["A-1"]}}}
+    with open(f"{folder}/policies.yaml", "w", encoding="utf-8") as file:
+        yaml.safe_dump(content, file)
+    df, rest = policy_files.read_policy_document(spark, f"{folder}/policies.yaml")
+    assert rest.role_policies == {"r": ["A-1"]}
+    read = policy_files.policy_list(policy_files.accepted_policies(df))
+    assert [(p[0], p[5], p[6]) for p in read] == sorted((p[0], p[5], p[6]) for p in fv.POLICIES)
+    assert [r.reasons for r in policy_files.refused_policies(df).collect()] == ["unknown severity"]
+    with open(f"{folder}/other.yaml", "w", encoding="utf-8") as file:
+        file.write("policies: []")
+    with pytest.raises(ValueError):
+        policy_files.read_policy_document(spark, folder)
+
+
+def test_every_team_and_sprint_is_evaluated(spark, small):
+    df = policies.policy_evaluation(
+        small["policy_violations"], small["code_quality_metrics"], small["teams"], sprints=small["sprints"]
+    )
+    rows = {(r.team, r.sprint_id, r.policy_id): r.status for r in df.collect()}
+    teams, sprints = ["Alpha", "Beta", "Gamma"], ["s1", "s2", "s3", "s10", "s12"]
+    assert set(rows) == set(product(teams, sprints, [p[0] for p in fv.POLICIES]))
+    assert len(rows) == df.count()
+    # Nothing happened: no violations, and no measures.
+    assert (rows["Gamma", "s12", "SEC-001"], rows["Gamma", "s12", "CS-001"]) == ("pass", "no_data")
+    assert rows["Alpha", "s1", "SEC-001"] == "fail"
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    empty = policies.policy_evaluation(
+        small["policy_violations"].limit(0), small["code_quality_metrics"].limit(0), small["teams"],
+        sprints=small["sprints"].limit(0),
+    )
+    assert empty.count() == 0
+
+
+def test_limits_come_from_the_policies_given(small):
+    def gates(listed):
+        df = threshold_alerts(small, policies=listed)
+        return sorted(r.id for r in df.filter("alert_type = 'quality_gate'").collect())
+
+    higher = [(*p[:6], 81, p[7]) if p[0] == "CS-001" else p for p in fv.POLICIES]
+    assert gates(None) == ["quality_gate:t1:s1"]
+    assert gates(higher) == ["quality_gate:t1:s1", "quality_gate:t3:s3"]
+    assert gates([p for p in fv.POLICIES if p[0] != "CS-001"]) == []

@@ -128,7 +128,12 @@ def kpi_deltas(
         if found is not None and found.previous_sprint_id is not None:
             only.append(found.previous_sprint_id)
     now = every_sprint(tables, list(_figures()), team, only)
-    before = every_sprint(tables, COMPARED, team, only).select(
+    return with_changes(order, now, every_sprint(tables, COMPARED, team, only))
+
+
+def with_changes(order: DataFrame, now: DataFrame, before: DataFrame) -> DataFrame:
+    """The figures ``now`` of the sprints in ``order``, with those of the sprint before."""
+    before = before.select(
         F.col("sprint_id").alias("previous_sprint_id"),
         *[F.col(name).alias(f"prev_{name}") for name in COMPARED],
     )

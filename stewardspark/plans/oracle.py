@@ -482,6 +482,7 @@ _BODIES = {
         SELECT s.id AS sprint_id, s.name, s.number, p.id AS previous_sprint_id
         FROM sprints s LEFT JOIN sprints p ON p.number = s.number - 1""",
     "Q20_kpi_deltas": "SELECT * FROM deltas",
+    "Q20_from_stored_sums": "SELECT * FROM deltas",
     "Q21_kpi_direction": f"""
         SELECT sprint_id,
           concat({_show('avg_compliance', 1)}, '%') AS compliance_text,

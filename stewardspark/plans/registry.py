@@ -20,6 +20,7 @@ from stewardspark.operators import (
     quality,
     reads,
     reshape,
+    rollups,
     selection,
     summaries,
     text_scan,
@@ -153,6 +154,28 @@ _QUERIES["Q19_sprint_previous"] = lambda spark, sf_dir: kpis.sprint_previous(
     testdata.sprints_in_use(spark, sf_dir)
 )
 _on_tables("Q20_kpi_deltas", kpis.kpi_deltas)
+
+
+@_register("Q20_from_stored_sums")
+def _from_stored_sums(spark, sf_dir):
+    """The same figures from sums stored batch by batch, with a correction and batches sent twice."""
+    root = new_folder(spark, "sums")
+    tables = testdata.derive_tables(spark, sf_dir)
+    facts = {name: tables[name] for name, _ in rollups.FIGURES.values()}
+    half = {name: [df.filter(F.pmod(F.crc32("id"), F.lit(2)) == i) for i in (0, 1)] for name, df in facts.items()}
+    wrong = half["compliance_scores"][0].withColumn("score", F.col("score") + 7)
+    first = {name: parts[0] for name, parts in half.items()} | {"compliance_scores": wrong}
+    rollups.add_batch(spark, root, "first", first)
+    rollups.add_batch(
+        spark, root, "correction", {"compliance_scores": half["compliance_scores"][0]}, {"compliance_scores": wrong}
+    )
+    rollups.fold(spark, root)
+    rollups.add_batch(spark, root, "first", first)
+    for _ in range(2):
+        rollups.add_batch(spark, root, "second", {name: parts[1] for name, parts in half.items()})
+    return rollups.kpi_deltas(rollups.read_sums(spark, root), tables["teams"], tables["sprints"])
+
+
 _on_tables("Q21_kpi_direction", lambda t: kpis.kpi_direction(kpis.kpi_deltas(t)))
 _on_tables("Q25_kpi_bands", kpis.kpi_bands)
 _on_tables("Q28_team_scope", kpis.kpis_by_scope)

@@ -13,7 +13,7 @@ from tests.conftest import SMALL
 WRITING = {
     "L01_load_tables", "L03_write_table", "L04_full_refresh", "L04_snapshot_refresh",
     "ST01_ingest_stream", "ST01_redelivered_feed",
-    "D02_alert_stream",
+    "D02_alert_stream", "Q20_from_stored_sums",
 }
 
 

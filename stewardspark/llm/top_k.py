@@ -14,6 +14,7 @@ from stewardspark.llm.common import stored
 PAGE = 128
 TREE_ROWS = 1 << 16
 QUERY_BLOCK = 4096
+PAGES_AT_ONCE = 16
 
 
 def quantized(vector: Column, scale: int = 1024) -> Column:
@@ -42,8 +43,8 @@ class Tree:
     the page's own pivot.
     """
 
-    def __init__(self, ids: np.ndarray, whole: np.ndarray, page: int = PAGE):
-        self.ids, self.whole = ids, whole
+    def __init__(self, ids: np.ndarray, own: np.ndarray, whole: np.ndarray, page: int = PAGE):
+        self.ids, self.own, self.whole = ids, own, whole
         flat = whole.astype(np.float64)
         squares = (flat**2).sum(1)
         self.sphere = float(squares.max())
@@ -66,8 +67,8 @@ class Tree:
         children = [self._page(points, p, c, page) for p, c in zip(parts, pivots, strict=True)]
         return (pivots, _apart(pivots, pivot), radii, children)
 
-    def search(self, query_id: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
-        """The k best (score, -id), the query's own id left out.
+    def search(self, query_own: int, query: np.ndarray, k: int) -> list[tuple[int, int]]:
+        """The k best (score, -id), rows with the query's own number left out.
 
         Pages are taken nearest first. A page or point is passed over without
         computing its distance if the triangle inequality over the stored
@@ -90,14 +91,13 @@ class Tree:
                 break
             if radii is None:
                 rows = below[np.abs(away - apart) <= limit + slack]
+                rows = rows[self.own[rows] != query_own]
                 scores = (self.whole[rows] @ wide if exact else self.whole[rows].astype(object) @ wide.astype(object))
                 if len(best) == k:
                     kept = scores >= best[0][0]
                     rows, scores = rows[kept], scores[kept]
                 for key, score in zip(self.ids[rows].tolist(), scores.tolist(), strict=True):
                     entry = (int(score), -key)
-                    if key == query_id:
-                        continue
                     if len(best) < k:
                         heapq.heappush(best, entry)
                     elif entry > best[0]:
@@ -115,26 +115,26 @@ class Tree:
         return sorted(best, reverse=True)
 
 
-def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of a batch, one for each length of vector."""
-    ids, vectors = batch.column(0).to_numpy(), batch.column(1)
+def _vectors(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, ...]]:
+    """(ids, own numbers, matrix) of a batch (id, own, whole), one for each length of vector."""
+    ids, own, vectors = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
     flat = vectors.flatten().to_numpy(zero_copy_only=False)
     lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
     starts = np.cumsum(lengths) - lengths
     for length in np.unique(lengths):
         at = np.flatnonzero(lengths == length)
-        yield ids[at], flat[starts[at][:, None] + np.arange(length)]
+        yield ids[at], own[at], flat[starts[at][:, None] + np.arange(length)]
 
 
-def _least_ids(ids: np.ndarray, whole: np.ndarray, keep: int) -> tuple[np.ndarray, np.ndarray]:
+def _least_ids(ids: np.ndarray, own: np.ndarray, whole: np.ndarray, keep: int) -> tuple[np.ndarray, ...]:
     """Of equal vectors only the rows that can be among the ``keep`` best of a query.
 
-    Ids may repeat, and a query gets no row with its own id: of each id ``keep`` rows
-    can be in a result, and among the first ``2 * keep`` of those rows ``keep`` at most
-    bear the query's id.
+    A query gets no row with its own number. Numbers may repeat, but then with one id:
+    of each number ``keep`` rows can be in a result, and among the first ``2 * keep`` of
+    those rows ``keep`` at most bear the query's number.
     """
     _, kind = np.unique(whole, axis=0, return_inverse=True)
-    order = np.lexsort((ids, kind.ravel()))
+    order = np.lexsort((own, ids, kind.ravel()))
 
     def first_of(*columns: np.ndarray) -> np.ndarray:
         new = np.zeros(len(order), bool)
@@ -144,45 +144,53 @@ def _least_ids(ids: np.ndarray, whole: np.ndarray, keep: int) -> tuple[np.ndarra
         return np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
 
     kinds = kind.ravel()[order]
-    order = order[np.arange(len(order)) - first_of(kinds, ids[order]) < keep]
+    order = order[np.arange(len(order)) - first_of(kinds, own[order]) < keep]
     kinds = kind.ravel()[order]
     order = order[np.arange(len(order)) - first_of(kinds) < 2 * keep]
-    return ids[order], whole[order]
+    return ids[order], own[order], whole[order]
 
 
-def build_index(vectors: DataFrame, k: int, tree_rows: int = TREE_ROWS) -> DataFrame:
-    """Trees of up to ``tree_rows`` rows of ``vectors`` (id, whole), stored as one row each."""
+def _gathered(rows: int, pack, name: str):
+    """Arrow function: rows (id, own, whole) to (dims, ``name``), a blob for each ``rows`` of a length."""
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: dict[int, list] = {}
 
-        def planted(length: int) -> pa.RecordBatch:
-            parts = waiting.pop(length)
-            ids, whole = _least_ids(
-                np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), k
-            )
-            if whole.size and np.abs(whole).max() < 2**31:
-                whole = whole.astype(np.int32)
-            blob = pickle.dumps((ids, whole), protocol=5)
+        def blob(length: int) -> pa.RecordBatch:
+            ids, own, whole = (np.concatenate(c) for c in zip(*waiting.pop(length), strict=True))
+            packed = pickle.dumps(pack(ids, own, whole), protocol=5)
             return pa.RecordBatch.from_arrays(
-                [pa.array([length], pa.int32()), pa.array([blob], pa.binary())], names=["dims", "tree"]
+                [pa.array([length], pa.int32()), pa.array([packed], pa.binary())], names=["dims", name]
             )
 
         for batch in batches:
-            for ids, whole in _vectors(batch):
-                length = whole.shape[1]
-                waiting.setdefault(length, []).append((ids, whole))
-                if sum(len(p[0]) for p in waiting[length]) >= tree_rows:
-                    yield planted(length)
+            for part in _vectors(batch):
+                length = part[2].shape[1]
+                waiting.setdefault(length, []).append(part)
+                if sum(len(p[0]) for p in waiting[length]) >= rows:
+                    yield blob(length)
         for length in list(waiting):
-            yield planted(length)
+            yield blob(length)
+
+    return gather
+
+
+def build_index(vectors: DataFrame, k: int, tree_rows: int = TREE_ROWS) -> DataFrame:
+    """M-trees of up to ``tree_rows`` rows of ``vectors`` (id, own, whole), one a row.
+
+    Stored are the tree's pages with pivots, covering radii and distances from their
+    parents, and its vectors.
+    """
 
-    return stored(vectors.mapInArrow(build, "dims int, tree binary"), "m-trees")
+    def grown(ids: np.ndarray, own: np.ndarray, whole: np.ndarray) -> Tree:
+        return Tree(*_least_ids(ids, own, whole, k))
+
+    return stored(vectors.mapInArrow(_gathered(tree_rows, grown, "tree"), "dims int, tree binary"), "m-trees")
 
 
 def top_k(
     embeddings: DataFrame,
-    queries: DataFrame,
+    queries: DataFrame | Column,
     k: int = 10,
     scale: int = 1024,
     id_column: str = "vec_id",
@@ -191,58 +199,86 @@ def top_k(
 ) -> DataFrame:
     """(query_id, rank, id, score): the ``k`` highest integer inner products of each query.
 
-    Both tables have an id and a vector; components count as floor(scale * x).
-    Ties go to the smaller id; rows with the query's id are left out; fewer than
-    ``k`` rows are all returned. A vector that is null, empty or has a null or
-    non-finite component takes no part, nor does a row with a null id; vectors of
-    another length than the query's are no candidates. A query written twice is
-    answered once, and equal candidates rank one after the other. Empty tables
-    give an empty result, further columns are not read.
+    ``queries`` is a condition: the rows of ``embeddings`` that meet it are asked, each
+    against all rows but itself, also if its id or vector is there again. Or it is
+    another table: each of its different rows is asked against all rows with another
+    id. Both tables have an id and a vector; components count as floor(scale * x).
+
+    Ties go to the smaller id; fewer than ``k`` rows are all returned. A vector that
+    is null, empty or has a null or non-finite component takes no part, nor does a row
+    with a null id; vectors of another length than the query's are no candidates. Equal
+    candidates rank one after the other. Empty tables give an empty result, further
+    columns are not read.
 
     Rows are dealt out evenly and kept in M-trees of bounded size in the shared
-    folder. Queries go to all trees in blocks of about ``query_block``, by
-    broadcast: a block's size does not grow with the tables, and a tree gives at
-    most ``k`` rows for a query.
+    folder, queries in pages of about ``query_block``. Each tree meets each page of its
+    length in a task, by a join of groups of both; no query goes through the driver, and
+    a tree gives at most ``k`` rows for a query.
     """
     spark = embeddings.sparkSession
 
-    def whole(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col(id_column).alias("id"), quantized(F.col(vector_column), scale).alias("whole"))
+    def whole(df: DataFrame, *more: Column) -> DataFrame:
+        vector = quantized(F.col(vector_column), scale).alias("whole")
+        rows = df.select(F.col(id_column).cast("long").alias("id"), vector, *more)
         return rows.filter("id IS NOT NULL AND whole IS NOT NULL")
 
-    asked = stored(whole(queries).dropDuplicates(["id"]), "queries")
-    n_queries = asked.count()
+    if isinstance(queries, Column):
+        number = F.monotonically_increasing_id().alias("own")
+        rows = stored(whole(embeddings, queries.alias("asked"), number), "numbered")
+        asked = rows.filter("asked").select("id", "own", "whole", F.col("own").alias("query"))
+    else:
+        rows = whole(embeddings).withColumn("own", F.col("id"))
+        asked = whole(queries).distinct().select(
+            "id", F.col("id").alias("own"), "whole", F.monotonically_increasing_id().alias("query")
+        )
+    asked = stored(asked, "queries")
+    blocks = max(1, -(-asked.count() // query_block))
     cores = spark.sparkContext.defaultParallelism
-    trees = build_index(whole(embeddings).repartition(2 * cores, "id"), k)
-    blocks = max(1, -(-n_queries // query_block))
-    found = None
-    for block in range(blocks):
-        rows = asked.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block).toArrow()
-        sent = spark.sparkContext.broadcast(rows.combine_chunks().to_batches())
-        answers = trees.mapInArrow(_answer(sent, k), "query_id long, id long, score long")
-        found = answers if found is None else found.unionByName(answers)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    # Row numbers of one input partition are neighbours; dealt by hash they spread evenly.
+    trees = build_index(rows.select("id", "own", "whole").repartition(2 * cores, F.xxhash64("own", "id")), k)
+    paged = asked.select("id", "query", F.concat(F.array("own"), "whole").alias("whole"))
+    pages = paged.repartition(blocks, F.xxhash64("query"))
+    pages = stored(
+        pages.mapInArrow(_gathered(query_block, lambda *page: page, "page"), "dims int, page binary"), "pages"
+    )
+    met = _met(trees, pages.withColumn("dims", F.col("dims") - 1), blocks, 2 * cores)
+    found = met.select("tree", "page").mapInArrow(_answer(k), "query long, query_id long, id long, score long")
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     placed = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return placed.select("query_id", "rank", F.col("id").alias(id_column), "score")
 
 
-def _answer(sent, k: int):
+def _met(trees: DataFrame, pages: DataFrame, n_pages: int, tasks: int) -> DataFrame:
+    """Each tree with each page of its length.
+
+    Both are dealt into groups, and a group of trees meets a group of pages in a task:
+    a tree is sent once for each ``PAGES_AT_ONCE`` pages, a page once for each group of
+    trees, of which there are as many as keep all tasks at work.
+    """
+    columns = -(-n_pages // PAGES_AT_ONCE)
+    lines = -(-tasks // columns)
+    number = F.monotonically_increasing_id()
+
+    def dealt(df: DataFrame, own: str, groups: int, other: str, others: int) -> DataFrame:
+        mine = df.withColumn(own, F.pmod(number, F.lit(groups)))
+        return mine.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)).cast("array<long>")))
+
+    met = dealt(trees, "line", lines, "column", columns)
+    return met.join(dealt(pages, "column", columns, "line", lines), ["dims", "line", "column"])
+
+
+def _answer(k: int):
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked: dict[int, list] = {}
-        for batch in sent.value:
-            for ids, whole in _vectors(batch):
-                asked.setdefault(whole.shape[1], []).extend(zip(ids.tolist(), whole, strict=True))
         for batch in batches:
-            for length, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                queries = asked.get(length, [])
-                if not queries:
-                    continue
-                ids, whole = pickle.loads(blob.as_py())
-                tree = Tree(ids, whole.astype(np.int64))
-                hits = [(q, -key, s) for q, v in queries for s, key in tree.search(q, v, k)]
-                columns = list(zip(*hits, strict=True)) or [[], [], []]
+            for tree, page in zip(batch.column(0), batch.column(1), strict=True):
+                tree = pickle.loads(tree.as_py())
+                hits = []
+                for query_id, query, own_and_vector in zip(*pickle.loads(page.as_py()), strict=True):
+                    best = tree.search(int(own_and_vector[0]), own_and_vector[1:], k)
+                    hits += [(int(query), int(query_id), -key, score) for score, key in best]
+                columns = list(zip(*hits, strict=True)) or [[], [], [], []]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in columns], names=["query_id", "id", "score"]
+                    [pa.array(c, pa.int64()) for c in columns], names=["query", "query_id", "id", "score"]
                 )
 
     return answer

@@ -571,12 +571,28 @@ def test_top_k_with_a_query_row_repeated(spark, own, others):
     assert [r["vec_id"] for r in got.orderBy("rank").collect()] == want
 
 
+@pytest.mark.parametrize("pages_at_once", [1, 16])
+def test_top_k_of_rows_that_share_ids(spark, monkeypatch, pages_at_once):
+    monkeypatch.setattr(top_k, "PAGES_AT_ONCE", pages_at_once)
+    rng = np.random.default_rng(9)
+    rows = [(int(i), [float(x) for x in v]) for i, v in zip(rng.integers(0, 12, 90), rng.integers(-2, 3, (90, 2)))]
+    rows += [(0, [1.0, 0.0]), (0, [0.0, 1.0])] + [(0, [2.0, 2.0])] * 25 + [(7, [2.0, 2.0])] * 9
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = top_k.top_k(table, F.col("vec_id") % 10 == 0, 6, query_block=16).collect()
+    want = []
+    for i, (query, q) in enumerate(rows):
+        if query % 10 == 0:
+            scores = [(-int(1024 * 1024 * np.dot(q, v)), key) for j, (key, v) in enumerate(rows) if j != i]
+            want += [(query, n, key, -s) for n, (s, key) in enumerate(sorted(scores)[:6], 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
 def test_least_ids_keep_all_that_a_query_can_get():
     rng = np.random.default_rng(6)
     for _ in range(300):
         ids = np.sort(rng.integers(0, rng.integers(1, 12), 30))
         whole = rng.integers(0, 2, (30, 1))
-        kept, vectors = top_k._least_ids(ids, whole, 4)
+        kept, _, vectors = top_k._least_ids(ids, ids, whole, 4)
         for query in range(-1, 12):
             for v in (0, 1):
                 want = sorted(ids[(whole[:, 0] == v) & (ids != query)])[:4]

@@ -814,6 +814,33 @@ _BODIES = {
         for kind, pattern in _TEXT_PATTERNS.items()
     )
     + ") WHERE hits > 0",
+    "D12_dictionary_scan": r"""
+        SELECT doc_id, kind, count(*) AS hits
+        FROM (
+          SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2),
+            lambda i: array_to_string(w[i:i + n - 1], ' '))) AS phrase, n
+          FROM (SELECT doc_id, regexp_extract_all(lower(text),
+              '[\p{L}\p{N}]+(?:[''-][\p{L}\p{N}]+)*') AS w FROM documents),
+            (SELECT unnest([2, 3]) AS n)
+          WHERE len(w) >= n) d
+        JOIN (
+          SELECT DISTINCT kind, array_to_string(w[f:f + n - 1], ' ') AS phrase, n
+          FROM (SELECT regexp_extract_all(lower(text),
+              '[\p{L}\p{N}]+(?:[''-][\p{L}\p{N}]+)*') AS w FROM benchmark),
+            (SELECT * FROM (VALUES ('opening', 1, 3), ('middle', 4, 2)) v(kind, f, n))) p
+        USING (phrase, n)
+        GROUP BY ALL""",
+    "D12_unmarked_secrets": """
+        SELECT doc_id, token, round(bits, 6) AS bits
+        FROM (
+          SELECT doc_id, token, list_sum(list_transform(list_distinct(string_split(token, '')),
+            lambda c: -log2((length(token) - length(replace(token, c, ''))) / length(token))
+              * ((length(token) - length(replace(token, c, ''))) / length(token)))) AS bits
+          FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9+/_=-]+')) AS token
+            FROM documents)
+          WHERE regexp_full_match(token, '[A-Za-z0-9+/_-]{20,200}={0,2}')
+            AND regexp_matches(token, '[0-9]') AND regexp_matches(token, '[A-Za-z]'))
+        WHERE bits >= 3.2""",
     "D13_compliance_adherence": """
         SELECT t.name AS team, CAST(sum(rules_passed) AS BIGINT) AS rules_passed,
           CAST(sum(total_rules) AS BIGINT) AS total_rules,

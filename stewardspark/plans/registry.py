@@ -646,6 +646,28 @@ _on_tables(
 _QUERIES["D12_pii_secret_scan"] = lambda spark, sf_dir: text_scan.pii_secret_scan(
     testdata.source(spark, sf_dir, "documents")
 )
+
+
+@_register("D12_dictionary_scan")
+def _dictionary_scan(spark, sf_dir):
+    """Openings and middles of the benchmark's items wherever documents hold them."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    words = text_scan.words_of(F.col("text"))
+    phrases = [
+        items.select(F.lit(kind).alias("kind"), F.array_join(F.slice(words, first, length), " ").alias("phrase"))
+        for kind, first, length in (("opening", 1, 3), ("middle", 4, 2))
+    ]
+    return text_scan.dictionary_scan(
+        testdata.source(spark, sf_dir, "documents"), phrases[0].unionByName(phrases[1])
+    )
+
+
+@_register("D12_unmarked_secrets")
+def _unmarked_secrets(spark, sf_dir):
+    found = text_scan.unmarked_secrets(testdata.source(spark, sf_dir, "documents"))
+    return found.select("doc_id", "token", F.round("bits", 6).alias("bits"))
+
+
 _on_tables(
     "D13_compliance_adherence",
     lambda t: summaries.compliance_adherence(t["compliance_scores"], t["teams"]),

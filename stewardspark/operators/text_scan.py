@@ -65,7 +65,8 @@ def dictionary_scan(
     words = documents.select(id_column, words_of(F.col(text_column)).alias("words"), longest.alias("most"))
     # A window holds the words from a place on: what is unfolded is no more than the longest phrase.
     windows = F.transform(F.sequence(F.lit(1), F.size("words")), lambda i: F.slice("words", i, F.col("most")))
-    places = words.filter(F.size("words") > 0).select(id_column, F.explode(windows).alias("window"))
+    windows = F.when(F.size("words") > 0, windows)
+    places = words.select(id_column, F.explode(windows).alias("window"))
     met = places.withColumn("first", F.col("window")[0]).join(listed, "first")
     met = met.filter(F.array_join(F.slice("window", 1, F.col("length")), " ") == F.col("phrase"))
     return met.groupBy(id_column, "kind").agg(F.count("*").alias("hits"))

@@ -1,7 +1,10 @@
 """The corpus pipeline: from raw documents to token files, stage by stage.
 
 Each stage calls one operator over all rows that the stage before it kept, and its
-result is written to the shared folder and read again.
+result is written to the shared folder and read again. Nulls and empty tables are what
+the operators say: a null text is an empty one and is kept until mixing takes its words,
+of which it has none; repeated rows stay rows of their own up to the near-duplicate stage;
+an empty table passes through all stages.
 """
 
 from pyspark.sql import DataFrame, SparkSession

@@ -278,7 +278,9 @@ def periodic_runs(
         "tiles",
     )
     tile = unfolded.filter("octave IS NOT NULL").select("row", "octave", "at", "numbers", "marks")
-    dealt = tile.repartition("row", "octave", "at")
+    # As many tasks as stated: by their bytes, which are few, adaptive execution would join them.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = tile.repartition(tasks, "row", "octave", "at")
     fragments = dealt.mapInArrow(_solved, "row long, period int, first int, last int")
     runs = stored(stitched(fragments), "runs")
     texts = unfolded.filter("octave IS NULL").select("row", "id", "whole_sha256", "words")

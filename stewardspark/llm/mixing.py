@@ -238,7 +238,8 @@ def _cut(texts: pd.Series, firsts: pd.Series, lasts: pd.Series) -> pd.Series:
                 break
         return text[begin:end]
 
-    return pd.Series([cut(*x) for x in zip(texts, firsts, lasts, strict=True)], dtype=object)
+    parts = [text and cut(text, first, last) for text, first, last in zip(texts, firsts, lasts, strict=True)]
+    return pd.Series(parts, dtype=object)
 
 
 def mixed_documents(
@@ -246,18 +247,20 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself, in the columns of ``docs``: whole texts as often as they are
     taken, and cut texts, their ``n_chars`` (if there) counted again, where a part is
-    taken. Only texts to be cut go to Python."""
+    taken. Texts move once, to meet the plan; only those to be cut go to Python."""
     names = docs.columns
     rows, mixed = _plan(docs, keep=names, id_column=id_column, text_column=text_column, **options)
     whole = F.struct(F.lit(0).cast("long").alias("first"), F.col("size").cast("long").alias("last"))
-    pieces = F.concat(F.array_repeat(whole, F.col("passes")), "spans")
-    pieces = mixed.filter("taken > 0").select("row", "size", F.explode(pieces).alias("piece"))
+    pieces = F.concat(F.array_repeat(whole, F.col("passes")), "spans").alias("pieces")
+    # A row of the plan for each document: no side has a bound that would allow a broadcast.
+    plan = mixed.filter("taken > 0").select("row", "size", pieces).hint("merge")
+    taken = rows.select("row", "kept").join(plan, "row").select("kept", "size", F.explode("pieces").alias("piece"))
     full = (F.col("piece.first") == 0) & (F.col("piece.last") == F.col("size"))
-    texts = rows.select("row", "kept")
-    text = _cut(F.col("kept")[text_column], F.col("piece.first"), F.col("piece.last"))
-    cut = pieces.filter(~full).join(texts, "row").select("kept", text.alias("_text"))
-    changed = {text_column: F.col("_text")}
+    text = F.col("kept")[text_column]
+    cut = _cut(F.when(~full, text), F.col("piece.first"), F.col("piece.last"))
+    taken = taken.withColumn("_cut", cut)
+    changed = {text_column: F.when(full, text).otherwise(F.col("_cut"))}
     if "n_chars" in names:
-        changed["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
-    cut = cut.select(*[changed.get(c, F.col("kept")[c]).alias(c) for c in names])
-    return pieces.filter(full).join(texts, "row").select("kept.*").unionByName(cut)
+        again = F.length("_cut").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(full, F.col("kept")["n_chars"]).otherwise(again)
+    return taken.select(*[changed.get(c, F.col("kept")[c]).alias(c) for c in names])

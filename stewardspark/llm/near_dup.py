@@ -217,4 +217,6 @@ def without_near_duplicates(
     rows = rows.join(named, rows["fingerprint"] == named["value"])
     first = F.min(F.struct(F.col("id").isNull(), "id", "row")).alias("first")
     first = rows.groupBy("component").agg(first).select(F.col("first.row").alias("row"))
-    return marked.join(stored(first, "kept-rows"), "row", "left_semi").select("kept.*")
+    # A row for each component: their number has no bound that would allow a broadcast.
+    first = stored(first, "kept-rows").hint("merge")
+    return marked.join(first, "row", "left_semi").select("kept.*")

@@ -163,8 +163,9 @@ def test_shared_folder_is_the_one_the_cluster_names(spark):
     assert new_folder(cluster, "x").startswith("s3a://shared/work/x-")
     local = NamedSession(master="local[2]", checkpoint_dir="/shared")
     assert shared_folder(local) == "/shared"
-    with pytest.raises(ValueError):
-        shared_folder(NamedSession(master="yarn"))
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_folder(NamedSession(master=master))
 
 
 # Data quality

@@ -3,8 +3,10 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from stewardspark.operators.alerting import threshold_alerts
+from stewardspark.plans import registry
 from stewardspark.streaming import alerts, ingest
 from stewardspark.tables import Tables
 
@@ -101,3 +103,19 @@ def test_an_alert_goes_when_it_is_no_longer_due_and_keeps_when_it_was_raised(spa
     assert first[0] == "quality_gate:t1:s1"
     assert reading(2, 100.0) == []
     assert reading(3, 0.0) == [first]
+
+
+def test_stream_files_grow_with_the_facts(spark, folder):
+    rows = spark.range(0, 60_000, 1, 8).selectExpr("CAST(id AS STRING) AS id", "uuid() AS team_id")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        stream = registry._as_stream(ingest.stream_session(spark), rows, f"{folder}/facts")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    files = spark.read.parquet(f"{folder}/facts").groupBy(F.input_file_name()).count().collect()
+    assert len(files) > 8 and max(f["count"] for f in files) < 60_000 // 8
+    batches = []
+    stream.writeStream.foreachBatch(lambda batch, number: batches.append(batch.count())).option(
+        "checkpointLocation", f"{folder}/checkpoint"
+    ).trigger(availableNow=True).start().awaitTermination()
+    assert stream.columns == ["team_id"] and len(batches) == 2 and sum(batches) == 60_000

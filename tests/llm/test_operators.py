@@ -2,10 +2,12 @@
 
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -541,6 +543,26 @@ def test_difference_cover():
     assert pairs == set(range(repeats.PERIOD))
 
 
+def test_sorting_buckets_takes_little_memory():
+    """The peak follows the block, not the buckets that a task is given."""
+    rnd = np.random.default_rng(20)
+    rows = []
+    for i in range(800):
+        body = rnd.integers(97, 123, 550, np.uint8).tobytes()
+        rows += [(i, 1, i, 0, body), (i, 2, i, 0, b"x" + body[:-1])]
+    types = [pa.int64()] * 4 + [pa.binary()]
+    columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["bucket", "k1", "k2", "first", "data"])
+    tracemalloc.start()
+    try:
+        found = [row for out in repeats._sort_buckets(400)([batch]) for row in zip(*out.to_pydict().values(), strict=True)]
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sorted(found) == sorted([(1, i, 0, 549) for i in range(800)] + [(2, i, 1, 550) for i in range(800)])
+    assert peak < 60 << 20, peak
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(0, 0.3, (700, 8))

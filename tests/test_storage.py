@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stewardspark.operators import quality
+from stewardspark.plans import registry
 from stewardspark.schemas import TABLES
 from stewardspark.session import new_folder, shared_folder
 from stewardspark.sources import folders
@@ -103,6 +104,45 @@ def test_a_query_may_use_table_names_as_its_own(spark, small):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith(("alerts_", "teams_"))]
 
 
+def test_strings_come_through_the_rebalance_as_they_were(spark):
+    """Marks, separators, NULLs, empty strings and bytes that are no UTF-8."""
+    rows = spark.createDataFrame(
+        [(1, "a", None, "x,y", "s"), (2, "", ",", "\u00e9\x01", None), (3, None, None, None, "s"),
+         (4, "\x02n", "\x02\x01\x02x", "\x01\x01", "\x02")],
+        "n int, a string, b string, c string, s string",
+    )
+    rows = rows.unionByName(
+        spark.sql("SELECT 5 n, CAST(x'e2' AS STRING) a, CAST(x'82ac' AS STRING) b, '' c, 's' s")
+    )
+
+    def found(df):
+        return sorted(map(str, df.select(*[F.hex(column) for column in df.columns]).collect()))
+
+    for columns in (("s",), ()):
+        out = pt.rebalanced(rows, columns)
+        assert out.schema == rows.schema
+        assert found(out) == found(rows)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert "concat_ws" in plan.split("RebalancePartitions")[1]
+
+
+def test_orders_find_their_team_once_for_all_refreshes(spark, folder, monkeypatch):
+    asked, source = [], testdata.source
+
+    def counted(session, sf_dir, name):
+        asked.append(name)
+        return source(session, sf_dir, name)
+
+    monkeypatch.setattr(testdata, "source", counted)
+    tables = registry._stored_tables(spark, SMALL)
+    stored = {name: tables[name] for name in TABLES}
+    assert asked.count("customer") == asked.count("orders") == 1
+    monkeypatch.undo()
+    for name, df in testdata.derive_tables(spark, SMALL).items():
+        assert stored[name].columns == df.columns
+        assert sorted(map(str, stored[name].collect())) == sorted(map(str, df.collect()))
+
+
 # Snapshots
 
 

@@ -12,6 +12,7 @@ tokenizer, is encoded whole.
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -36,6 +37,11 @@ def _byte_letters() -> list[str]:
     return [chr(b if b in printable else next(free)) for b in range(256)]
 
 
+def _packed(ids: Iterable[int]) -> bytes:
+    """Ids side by side, 32 bits each: put together for a text without a look at each."""
+    return array("I", ids).tobytes()
+
+
 class Encoder:
     """Ids, or with ``lengths`` only their number, of texts.
 
@@ -46,7 +52,7 @@ class Encoder:
     def __init__(self, path: str, lengths: bool = False):
         self.known: dict = {}
         self.held = 0
-        self.keep = len if lengths else tuple
+        self.keep = len if lengths else _packed
         self.special = self.model = None
         if path.endswith(".model"):
             import sentencepiece
@@ -98,8 +104,13 @@ class Encoder:
         return _WORDS.split(text)
 
     def _word(self, word: str):
-        ids = self.model.tokenize("".join([self.letters[b] for b in word.encode()]))
-        return len(ids) if self.keep is len else tuple([t.id for t in ids])
+        # A word is a space and letters: those of ASCII stand for themselves.
+        if word.isascii():
+            spelt = self.letters[32] + word[1:]
+        else:
+            spelt = "".join([self.letters[b] for b in word.encode()])
+        ids = self.model.tokenize(spelt)
+        return len(ids) if self.keep is len else _packed([t.id for t in ids])
 
     def learn(self, pieces: Iterable[str]) -> dict:
         """A dict that has all ``pieces``."""
@@ -112,7 +123,7 @@ class Encoder:
         found = dict(zip(rest, map(self.keep, self.batched(rest)), strict=True))
         found.update((word, self._word(word)) for word in words)
         short = {p: ids for p, ids in found.items() if len(p) <= LONG}
-        size = sum(_ENTRY + len(p) + (0 if self.keep is len else 8 * len(ids)) for p, ids in short.items())
+        size = sum(_ENTRY + len(p) + (0 if self.keep is len else len(ids)) for p, ids in short.items())
         if self.held + size <= REMEMBERED:
             self.held += size
             known.update(short)
@@ -139,7 +150,7 @@ class Encoder:
     def ids(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
         """The ids of each text."""
         for known, pieces in self._grouped(texts):
-            yield np.fromiter(chain.from_iterable(map(known.__getitem__, pieces)), np.uint32)
+            yield np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.uint32)
 
     def counts(self, texts: Iterable[str]) -> list[int]:
         """Number of ids of each text, for an encoder of lengths."""

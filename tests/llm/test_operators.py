@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -82,6 +83,28 @@ def test_coder_round_trip_and_damage():
         id_coder.decode(bytes(damaged))
 
 
+def test_coder_learns_over_the_group_and_is_quick():
+    rng = np.random.default_rng(2)
+    ids = np.minimum(rng.zipf(1.3, 1 << 20), 5000).astype(np.uint32)
+    begin = time.process_time()
+    coded = id_coder.encode(ids)
+    assert (id_coder.decode(coded) == ids).all()
+    assert time.process_time() - begin < 4e-6 * len(ids)
+    shares = np.unique(ids, return_counts=True)[1] / len(ids)
+    assert 8 * len(coded) / len(ids) < 1.1 * -(shares * np.log2(shares)).sum()
+
+
+def test_coder_damaged_head_and_lost_end():
+    coded = id_coder.encode(np.arange(9000, dtype=np.uint32) % 700)
+    for at in (30, 200):
+        damaged = bytearray(coded)
+        damaged[at] ^= 1
+        with pytest.raises(ValueError):
+            id_coder.decode(bytes(damaged))
+    with pytest.raises(ValueError):
+        id_coder.decode(coded[:-2])
+
+
 def test_crc32_joined():
     a, b = b"some bytes", bytes(range(200))
     assert token_files.crc32_joined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)

@@ -586,6 +586,26 @@ def test_sorting_buckets_takes_little_memory():
     assert peak < 60 << 20, peak
 
 
+def test_cutting_slices_takes_little_memory():
+    """Texts and slices become Python objects a few at a time, whatever the Arrow batch holds."""
+    body = np.random.default_rng(21).integers(97, 123, 4000, np.uint8).tobytes()
+    wanted = [{"bucket": b, "first": 50 * b, "starts": 151} for b in range(70)]
+    part = pa.list_(pa.struct([("bucket", pa.int64()), ("first", pa.int64()), ("starts", pa.int32())]))
+    columns = [pa.array([body] * 2000, pa.binary()), pa.array(range(2000)), pa.array(range(2000)), pa.array([wanted] * 2000, part)]
+    batch = pa.RecordBatch.from_arrays(columns, names=["data", "k1", "k2", "wanted"])
+    n = 0
+    tracemalloc.start()
+    try:
+        for out in repeats._cut_slices(400)([batch]):
+            n += out.num_rows
+            assert all(len(x) == 550 for x in out.column(4).to_pylist()[:3])
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert n == 2000 * 70
+    assert peak < 40 << 20, peak
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(4)
     vectors = rng.normal(0, 0.3, (700, 8))

@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 
 BLOCK = 2048
-LANES = 1024
+LANES = 2048
 MAGIC = b"IDR3"
 
 _CONTEXTS_BITS = 10
@@ -33,6 +33,9 @@ _MIX_BITS, _ZERO_BITS, _LEAST = 12, 16, 16
 _SYMBOLS_BITS = 15
 _FULL = (1 << 48) - 1
 _BOTTOM = 1 << 32
+#: By how much an entry changes, by whether it was right and its level; ``_FRESH``: it gives way.
+_FRESH = 100
+_CHANGE = np.array([_FRESH] * 3 + [-((x + 1) >> 1) for x in range(3, _LEVELS)] + [1] * _SURE + [0], np.int32)
 #: Steps that are prepared at once.
 _AHEAD = 64
 _HEAD = struct.Struct("<4sIIIII")
@@ -46,7 +49,7 @@ class _Followers:
     """
 
     def __init__(self, lanes: int, ranks: int):
-        self.entries = np.zeros(2 * lanes << _CONTEXTS_BITS, np.int32 if ranks < 1 << 28 else np.int64)
+        self.entries = np.zeros(2 * lanes << _CONTEXTS_BITS, _kind(ranks))
         self.base = np.arange(2 * lanes, dtype=np.int64).reshape(2, lanes) << _CONTEXTS_BITS
 
     def slots(self, alive: int, last: np.ndarray, older: np.ndarray) -> np.ndarray:
@@ -61,16 +64,17 @@ class _Followers:
         hashed >>= np.uint32(32 - _CONTEXTS_BITS)
         return self.base[:, None, :alive] + hashed if last.ndim > 1 else self.base[:, :alive] + hashed
 
-    def learn(self, slot: np.ndarray, entry: np.ndarray, level: np.ndarray, ids: np.ndarray) -> None:
+    def learn(self, slot: np.ndarray, entry: np.ndarray, guess: np.ndarray, level: np.ndarray, ids: np.ndarray) -> None:
         """Take note of ``ids``. A sure entry gets less sure before it gives way."""
-        wrong = np.where(level > 2, entry - ((level + 1) >> 1), ids << 3 | 1)
-        self.entries[slot] = np.where(entry >> 3 == ids, entry + (level < _SURE), wrong)
+        change = _CHANGE.take(((guess == ids).view(np.int8) << 3) + level, mode="clip")
+        kept = entry + change
+        np.copyto(kept, ids << 3 | 1, where=change == _FRESH)
+        self.entries[slot] = kept
 
 
-def _pairs(entry: np.ndarray, level: np.ndarray) -> np.ndarray:
+def _pairs(guess: np.ndarray, level: np.ndarray) -> np.ndarray:
     """The number of the pair of levels, and whether both orders predict the same."""
-    one, two = entry >> 3
-    return (level[1] << 3 | level[0]) + ((one == two) << 6)
+    return (level[1] << 3) + level[0] + (guess[0] == guess[1]) * level.dtype.type(64)
 
 
 def _shares(pairs: np.ndarray, which: np.ndarray) -> np.ndarray:
@@ -106,6 +110,11 @@ def _frequencies(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def _kind(ranks: int) -> type:
+    """Of whole numbers that hold ranks, and entries."""
+    return np.int32 if ranks < 1 << 28 else np.int64
+
+
 def _ranks(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, from the most frequent; the rank of each id of the group)."""
     if int(ids.max()) < 1 << 22:
@@ -173,18 +182,17 @@ def _predicted(grid: np.ndarray, alive: list[int], ranks: int) -> np.ndarray:
     """The entries of both orders before each id of ``grid`` (steps by lanes): (order, step, lane)."""
     steps, lanes = grid.shape
     follow = _Followers(lanes, ranks)
-    ids = grid.astype(follow.entries.dtype)
     told = np.zeros((steps + 2, lanes), np.uint32)
-    told[2:] = ids + 1
-    out = np.zeros((2, steps, lanes), ids.dtype)
+    np.add(grid, 1, out=told[2:], casting="unsafe")
+    out = np.zeros((2, steps, lanes), grid.dtype)
     for begin in range(0, steps, _AHEAD):
         end = min(begin + _AHEAD, steps)
         slots = follow.slots(lanes, told[begin + 1 : end + 1], told[begin:end])
         for step in range(begin, end):
             slot = slots[:, step - begin, : alive[step]]
-            entry = follow.entries[slot]
+            entry = follow.entries.take(slot)
             out[:, step, : alive[step]] = entry
-            follow.learn(slot, entry, entry & _SURE, ids[step, : alive[step]])
+            follow.learn(slot, entry, entry >> 3, entry & _SURE, grid[step, : alive[step]])
     return out
 
 
@@ -198,7 +206,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     alive = [n if step < lengths[-1] else n - 1 for step in range(int(lengths[0]))]
     values, rank = _ranks(ids)
     low_bits = _low_bits(len(values))
-    grid = np.zeros(n * block, np.int64)
+    grid = np.zeros(n * block, _kind(len(values)))
     grid[: len(ids)] = rank
     grid = np.ascontiguousarray(grid.reshape(n, block)[:, : len(alive)].T)
     entries = _predicted(grid, alive, len(values))
@@ -207,10 +215,10 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> bytes:
     for begin in range(0, len(grid), _AHEAD):
         steps = slice(begin, begin + _AHEAD)
         entry = entries[:, steps]
-        level = entry & _SURE
-        right1, right2 = (entry >> 3 == grid[steps]) & (level > 0)
+        guess, level = entry >> 3, entry & _SURE
+        right1, right2 = (guess == grid[steps]) & (level > 0)
         which[steps] = np.where(right2, 0, np.where(right1, 1, 2))
-        pairs[steps] = _pairs(entry, level)
+        pairs[steps] = _pairs(guess, level)
     del entries
     valid = np.arange(len(grid))[:, None] < lengths
     shares = _shares(pairs[valid], which[valid])
@@ -308,9 +316,9 @@ def _decoded(
             alive -= 1
             width, point, place, last, older = (x[:alive].copy() for x in (width, point, place, last, older))
         slot = follow.slots(alive, last, older)
-        entry = follow.entries[slot]
-        level = entry & _SURE
-        pair = _pairs(entry, level).astype(np.int64)
+        entry = follow.entries.take(slot)
+        guess, level = entry >> 3, entry & _SURE
+        pair = _pairs(guess, level).astype(np.int64)
         unit = width >> _MIX_BITS
         value = point // unit
         not2, some = value >= end2[pair], value >= end1[pair]
@@ -331,9 +339,8 @@ def _decoded(
             width = np.where(some, unit, width)
             settle()
             symbol = symbol << low_bits | low
-        guess = entry >> 3
         ids = np.where(some, symbol, np.where(not2, guess[0], guess[1])).astype(kind)
         grid[step, :alive] = ids
-        follow.learn(slot, entry, level, ids)
+        follow.learn(slot, entry, guess, level, ids)
         older, last = last, ids.astype(np.uint32) + np.uint32(1)
     return grid

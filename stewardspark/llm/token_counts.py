@@ -3,6 +3,7 @@
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from stewardspark.llm.tokens import encoder
@@ -26,12 +27,11 @@ def token_counts(
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(tokenizer, lengths=True)
         for batch in batches:
-            texts = [text or "" for text in batch.column(1).to_pylist()]
-            counts = encode.counts(texts)
+            counts = encode.counts(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([len(text.encode()) for text in texts], pa.int64()),
+                    pc.fill_null(pc.binary_length(batch.column(1)).cast(pa.int64()), 0),
                     pa.array(counts, pa.int64()),
                     pa.array([n > limit for n in counts], pa.bool_()),
                 ],

@@ -65,8 +65,7 @@ def write_token_files(
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            texts = (text or "" for text in batch.column(1).to_pylist())
-            for key, ids in zip(batch.column(0).to_pylist(), encode.ids(texts), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), encode.ids(batch.column(1)), strict=True):
                 ids = np.concatenate([ids, end])
                 part = 0
                 while True:
@@ -81,7 +80,6 @@ def write_token_files(
                     if not len(ids):
                         break
                 ordinal += 1
-        encode.forget()
         if parts:
             yield group()
 
@@ -136,6 +134,8 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     kind = files.schema["parts"].dataType.elementType["id"].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The tasks that wrote in this worker have left what they remember to one another.
+        encoder.cache_clear()
         for batch in batches:
             for i in range(batch.num_rows):
                 shard, first, parts = (batch.column(k)[i].as_py() for k in range(3))

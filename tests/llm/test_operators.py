@@ -144,6 +144,22 @@ def test_encoder_equals_library_on_odd_texts():
     assert [x.tolist() for x in encode.ids(texts)] == [library_ids(t) for t in texts]
 
 
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+def test_encoder_takes_arrow_columns(monkeypatch, kind):
+    """Whole columns, and slices of them, over many groups and with nothing remembered after the first words."""
+    monkeypatch.setattr(tokens, "BATCH_BYTES", 40)
+    monkeypatch.setattr(tokens, "REMEMBERED", 2000)
+    rng = random.Random(3)
+    parts = [" a", " été", " ×x", " a÷", " Ýÿ", " naïve", "b ", " ", "\n", " 中x", " x中", " ǅa", ".", " z1", "<|endoftext|>", " µ"]
+    texts = [None if rng.random() < 0.1 else "".join(rng.choices(parts, k=rng.randint(0, 30))) for _ in range(600)]
+    want = [library_ids(t) for t in texts]
+    column = pa.array(texts, kind)
+    for first, n in ((0, 600), (7, 300), (599, 1), (600, 0)):
+        encode, lengths = (tokens.Encoder(tokens.default_tokenizer(), x) for x in (False, True))
+        assert [x.tolist() for x in encode.ids(column.slice(first, n))] == want[first : first + n]
+        assert lengths.counts(column.slice(first, n)) == [len(x) for x in want[first : first + n]]
+
+
 def test_sentencepiece_counts(spark):
     import public_tokenizers
     import sentencepiece

@@ -145,7 +145,9 @@ def links(values: DataFrame, distance: int, hot: int = HOT) -> DataFrame:
         F.count("*").alias("n"), F.sum(F.col("is_table").cast("int")).alias("tables")
     )
     sizes = sizes.filter("tables >= 1 AND n >= 2")
-    live = stored(rows.join(sizes.select("segment", "key", "n"), ["segment", "key"]), "buckets")
+    # Spark sizes both sides by the values alone, without the explode: never a broadcast.
+    sizes = sizes.select("segment", "key", "n").hint("merge")
+    live = stored(rows.join(sizes, ["segment", "key"]), "buckets")
     cold = live.filter(F.col("n") <= hot).select(
         F.xxhash64("segment", "key").alias("bucket"), "value", "is_table"
     )
@@ -174,7 +176,8 @@ def _classes(
     values = marked.groupBy(F.col("fingerprint").alias("value")).agg(F.min("id").alias("least"))
     values = stored(values, "values")
     found = components(links(values.select("value"), distance))
-    found = found.select(F.col("node").alias("value"), F.col("component"))
+    # As many rows as linked values, in files that say less of them than they take in memory.
+    found = found.select(F.col("node").alias("value"), F.col("component")).hint("merge")
     joined = values.join(found, "value", "left")
     joined = joined.withColumn("component", F.coalesce("component", "value"))
     least = joined.groupBy("component").agg(F.min("least").alias("component_id"))

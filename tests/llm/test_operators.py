@@ -14,6 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from stewardspark.llm import (
+    common,
     decontamination,
     id_coder,
     line_dedup,
@@ -376,6 +377,24 @@ def test_links_join_all_near_values(spark, hot):
     assert all(got.get(v, v) == signed[g] for v, g in zip(signed, label, strict=True))
 
 
+def test_near_duplicates_broadcast_nothing_sized_by_its_values(spark, monkeypatch):
+    """Spark sizes the 66 keys of a value, and the minima of a round, by the files read: none may be broadcast."""
+    plans, plain = [], common.stored
+
+    def kept(df, purpose):
+        plans.append((purpose, df._jdf.queryExecution().sparkPlan().toString()))
+        return plain(df, purpose)
+
+    monkeypatch.setattr(near_dup, "stored", kept)
+    monkeypatch.setattr(common, "stored", kept)
+    values = near_dup.stored(spark.range(250).select(F.xxhash64("id").alias("value")), "values")
+    near_dup.links(values, 3)
+    components(near_dup.stored(spark.createDataFrame([(1, 2), (2, 3)], "a long, b long"), "pairs"))
+    joined = [plan for purpose, plan in plans if purpose == "buckets" or "Join" in plan]
+    assert len(joined) >= 2
+    assert all("SortMergeJoin" in plan and "BroadcastHashJoin" not in plan for plan in joined)
+
+
 def test_decontamination(spark):
     rng = random.Random(4)
     items = [words(rng, n) for n in (60, 30, 12, 3, 30)] + [None, "..."]

@@ -1,3 +1,4 @@
+import time
 from datetime import datetime, timezone
 from types import SimpleNamespace
 
@@ -146,6 +147,24 @@ def test_orders_find_their_team_once_for_all_refreshes(spark, folder, monkeypatc
 # Snapshots
 
 
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {found.apply(i).getName() for i in range(found.length()) if "shuffle_" in found.apply(i).getName()}
+
+
+def test_a_refresh_leaves_no_shuffle_files(spark, small, folder):
+    """Their room on disk is free before the next refresh, and the session's setting is as it was."""
+    before, setting = shuffle_files(spark), spark.conf.get(pt._CLEANUP, None)
+    pt.full_refresh(Tables.of(**{name: small[name] for name in TABLES}), folder)
+    for _ in range(50):
+        left = shuffle_files(spark) - before
+        if not left:
+            break
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(pt._CLEANUP, None) == setting
+
+
 def counts(spark, root):
     return {name: df.count() for name, df in pt.load_tables(spark, root).items()}
 

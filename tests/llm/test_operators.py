@@ -377,6 +377,35 @@ def test_links_join_all_near_values(spark, hot):
     assert all(got.get(v, v) == signed[g] for v, g in zip(signed, label, strict=True))
 
 
+def test_lines_meet_in_rounds_by_length(spark, monkeypatch):
+    """Each class a round of its own finds the same links, and keys of other rounds are gone by then."""
+    rng = random.Random(9)
+    lines = [words(rng, rng.randint(2, 60)) for _ in range(40)]
+    for line in lines[:]:
+        cut = rng.randrange(len(line))
+        lines += [line[:cut] + line[cut + 1 :], line[:cut] + "xy" + line[cut:]]
+    lines = sorted(set(lines))
+    df = spark.createDataFrame(list(enumerate(lines)), "kind long, line string")
+    plain, sizes = common.stored, []
+
+    def kept(df, purpose):
+        out = plain(df, purpose)
+        if purpose == "line-pairs":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "stored", kept)
+    once = {tuple(r) for r in line_dedup.similar_lines(df, 2, 6, 16).collect()}
+    assert len(sizes) == 1
+    parts = [tuple(r) for r in line_dedup.similar_lines(df, 2, 6, 16, at_once=1, rounds=8).collect()]
+    assert len(sizes) > 5 and max(sizes[1:]) < sizes[0]
+    assert set(parts) == once and len(parts) == len(once) >= 40
+    for a, b in [(a, b) for a in range(0, len(lines), 7) for b in range(a)]:
+        most = max(2, max(len(lines[a]), len(lines[b])) // 16)
+        near = abs(len(lines[a]) - len(lines[b])) <= most and plain_distance(lines[a], lines[b]) <= most
+        assert near == ((a, b) in once or (b, a) in once)
+
+
 def test_near_duplicates_broadcast_nothing_sized_by_its_values(spark, monkeypatch):
     """Spark sizes the 66 keys of a value, and the minima of a round, by the files read: none may be broadcast."""
     plans, plain = [], common.stored

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from stewardspark.operators import quality
 from stewardspark.plans import registry
 from stewardspark.schemas import TABLES
-from stewardspark.session import new_folder, shared_folder
+from stewardspark.session import CLEANUP, new_folder, shared_folder
 from stewardspark.sources import folders
 from stewardspark.sources import parquet_tables as pt
 from stewardspark.sources import testdata
@@ -154,7 +154,7 @@ def shuffle_files(spark):
 
 def test_a_refresh_leaves_no_shuffle_files(spark, small, folder):
     """Their room on disk is free before the next refresh, and the session's setting is as it was."""
-    before, setting = shuffle_files(spark), spark.conf.get(pt._CLEANUP, None)
+    before, setting = shuffle_files(spark), spark.conf.get(CLEANUP, None)
     pt.full_refresh(Tables.of(**{name: small[name] for name in TABLES}), folder)
     for _ in range(50):
         left = shuffle_files(spark) - before
@@ -162,7 +162,7 @@ def test_a_refresh_leaves_no_shuffle_files(spark, small, folder):
             break
         time.sleep(0.2)
     assert not left
-    assert spark.conf.get(pt._CLEANUP, None) == setting
+    assert spark.conf.get(CLEANUP, None) == setting
 
 
 def counts(spark, root):
